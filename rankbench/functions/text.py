@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankbench.functions.binding import bound
+
 # Letters, numbers and underscore of any script.  Java's plain \w is ASCII only.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 
@@ -32,10 +34,14 @@ def words(text: Column, lower: bool = True, tokenizer: Tokenizer = word_tokens)
 
 def ngrams(tokens: Column, n: int, sep: str = "_") -> Column:
     """Runs of ``n`` neighbouring tokens, each joined by ``sep``."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), sep))
-    # sequence(1, 0) counts down, so short arrays need the guard
-    return F.when(F.size(tokens) >= n, grams).otherwise(no_tokens())
+
+    def of(toks: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(toks) - (n - 1))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), sep))
+        # sequence(1, 0) counts down, so short arrays need the guard
+        return F.when(F.size(toks) >= n, grams).otherwise(no_tokens())
+
+    return bound(tokens, of)
 
 
 def terms(
@@ -49,7 +55,10 @@ def terms(
     tokens = words(text, lower, tokenizer)
     if n_max < 2:
         return tokens
-    return F.concat(tokens, *[ngrams(tokens, n, sep) for n in range(2, n_max + 1)])
+    return bound(
+        tokens,
+        lambda toks: F.concat(toks, *[ngrams(toks, n, sep) for n in range(2, n_max + 1)]),
+    )
 
 
 def joined(tokens: Column) -> Column:

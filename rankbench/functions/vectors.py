@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankbench.functions.binding import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -15,10 +17,13 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Vector of length one; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(
-        length > 0, F.transform(v, lambda x: x.cast("double") / length)
-    ).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    def scaled(length: Column) -> Column:
+        return F.when(
+            length > 0, F.transform(v, lambda x: x.cast("double") / length)
+        ).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    return bound(norm(v), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

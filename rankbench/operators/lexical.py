@@ -132,10 +132,11 @@ def _match_sharded(index: LexicalIndex, weighed: DataFrame) -> DataFrame:
     return postings.drop("shards").join(queries.drop("shards"), ["term", "shard"])
 
 
-def okapi_idf(lexicon: DataFrame, n_docs: Column, floor: float = 0.25) -> DataFrame:
+def okapi_idf(lexicon: DataFrame, stats: DataFrame, floor: float = 0.25) -> DataFrame:
     """Natural-log idf per term; negative ones become ``floor`` x the mean raw idf."""
-    raw = lexicon.withColumn(
-        "raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    n_docs = F.broadcast(stats.select("n_docs"))  # one row
+    raw = lexicon.join(n_docs).withColumn(
+        "raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     )
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select(
@@ -157,7 +158,6 @@ def score_okapi(
     Every repeat of a query term counts.  Term counts come from the pair's own
     text, so only terms the two sides share leave the row.
     """
-    n_docs = stats.select("n_docs").scalar()
     avgdl = stats.select("avgdl").scalar()
     sides = pairs.select(
         key,
@@ -175,7 +175,7 @@ def score_okapi(
         .groupBy(key, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    idf = okapi_idf(lexicon, n_docs)
+    idf = okapi_idf(lexicon, stats)
     matched = lookup_join(
         in_text.join(in_query, [key, "term"]), idf, "term", hot_keys(lexicon, "term", "df")
     )

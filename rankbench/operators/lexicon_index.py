@@ -63,18 +63,22 @@ def build_lexicon(postings: DataFrame) -> DataFrame:
     )
 
 
+def length_stats(doclen: DataFrame) -> DataFrame:
+    """One row: documents, tokens, mean length."""
+    return doclen.agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"),
+        F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"),
+    )
+
+
 def collection_stats(doclen: DataFrame, lexicon: DataFrame) -> DataFrame:
     """One row: documents, distinct terms, postings, tokens, mean length."""
     from_terms = lexicon.agg(
         F.count(F.lit(1)).alias("n_terms"),
         F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"),
     )
-    from_documents = doclen.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"),
-        F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"),
-    )
-    return from_documents.select(
+    return length_stats(doclen).select(
         "n_docs",
         from_terms.select("n_terms").scalar().alias("n_terms"),
         from_terms.select("n_postings").scalar().alias("n_postings"),
