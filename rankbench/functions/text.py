@@ -36,9 +36,11 @@ def ngrams(tokens: Column, n: int, sep: str = "_") -> Column:
     """Runs of ``n`` neighbouring tokens, each joined by ``sep``."""
 
     def of(toks: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), sep))
-        # sequence(1, 0) counts down, so short arrays need the guard
+        starts = F.sequence(F.lit(0), F.size(toks) - n)
+        grams = F.transform(
+            starts, lambda i: F.concat_ws(sep, *[F.get(toks, i + j) for j in range(n)])
+        )
+        # a sequence with its end below its start counts down, so short arrays need the guard
         return F.when(F.size(toks) >= n, grams).otherwise(no_tokens())
 
     return bound(tokens, of)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankbench.functions import text as tx
 from rankbench.functions.hashing import draw, share
-from rankbench.operators.lexicon_index import build_lexicon, count_terms, tokenised
+from rankbench.operators.lexicon_index import tokenised
 from rankbench.session import task_count
 
 VOCABULARY = 30_000
@@ -26,7 +26,10 @@ def word_ids(corpus: DataFrame, size: int = VOCABULARY) -> DataFrame:
     The cut comes first, so the numbering window sees ``size`` rows.
     """
     top = (
-        build_lexicon(count_terms(tokenised(corpus)))
+        tokenised(corpus)
+        .select(F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("cf"))
         .orderBy(F.col("cf").desc(), "term")
         .limit(size)
     )

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from rankbench.functions import text as tx
 from rankbench.operators.lexical import score_okapi
 from rankbench.operators.lexicon_index import (
-    build_lexicon,
-    count_terms,
-    document_lengths,
+    document_frequencies,
     length_stats,
     tokenised,
 )
@@ -74,12 +72,13 @@ def pair_sides(triples: DataFrame) -> DataFrame:
 def okapi_scores(triples: DataFrame) -> DataFrame:
     """Okapi score of both sides of every triple over the combined corpus, case kept.
 
-    The lexicon is read several times, so it is checkpointed.  Runs a job.
+    Pairs and lexicon are read several times, so both are checkpointed.  Runs jobs.
     """
-    sides = pair_sides(triples)
+    sides = checkpointed(pair_sides(triples))
     documents = tokenised(sides.withColumnRenamed("pair_id", "docno"), lower=False)
-    lexicon = checkpointed(build_lexicon(count_terms(documents)))
-    return score_okapi(sides, lexicon, length_stats(document_lengths(documents)))
+    lexicon = checkpointed(document_frequencies(documents))
+    lengths = documents.select("docno", F.size("terms").alias("dl"))
+    return score_okapi(sides, lexicon, length_stats(lengths))
 
 
 def contradictions(triples: DataFrame) -> DataFrame:

@@ -163,22 +163,25 @@ def score_okapi(
         key,
         tx.words(F.col("query"), lower).alias("q"),
         tx.indexable(tx.words(F.col("text"), lower)).alias("d"),
-    )
-    in_query = (
-        sides.where(F.size("q") > 0)
-        .select(key, F.explode(F.array_intersect("q", "d")).alias("term"), "q")
-        .select(key, "term", _times("q").alias("qtf"))
-    )
-    in_text = (
-        sides.select(key, F.size("d").alias("dl"), F.col("q"), F.explode("d").alias("term"))
-        .where(F.array_contains("q", F.col("term")))
-        .groupBy(key, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    ).select(key, "q", "d", F.size("d").alias("dl"), F.array_intersect("q", "d").alias("shared"))
+
+    def marked(side: str) -> Column:
+        kept = F.filter(F.col(side), lambda t: F.array_contains("shared", t))
+        return F.transform(
+            kept, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side"))
+        )
+
+    both = (
+        sides.where(F.size("shared") > 0)
+        .select(key, "dl", F.explode(F.concat(marked("q"), marked("d"))).alias("t"))
+        .groupBy(key, "dl", F.col("t.term").alias("term"))
+        .agg(
+            F.count_if(F.col("t.side") == "q").alias("qtf"),
+            F.count_if(F.col("t.side") == "d").alias("tf"),
+        )
     )
     idf = okapi_idf(lexicon, stats)
-    matched = lookup_join(
-        in_text.join(in_query, [key, "term"]), idf, "term", hot_keys(lexicon, "term", "df")
-    )
+    matched = lookup_join(both, idf, "term", hot_keys(lexicon, "term", "df"))
     part = (
         F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
         / (F.col("tf") + _length_norm(k1, b, avgdl))
@@ -187,7 +190,3 @@ def score_okapi(
     return pairs.join(summed, key, "left").withColumn(
         "score", rounded(F.coalesce("score", F.lit(0.0)))
     )
-
-
-def _times(array: str) -> Column:
-    return F.size(F.filter(F.col(array), lambda t: t == F.col("term")))

@@ -1,9 +1,9 @@
-"""Lexical index as tables: postings, document lengths, lexicon, statistics, texts."""
+"""Lexical index as tables: postings, lexicon, statistics and a document store."""
 
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankbench.functions import text as tx
@@ -11,31 +11,39 @@ from rankbench.functions.hashing import digest
 from rankbench.session import task_count
 
 # Tables laid out by docno: a group by (qid, docno) over them needs no shuffle.
-BUCKETED = ("postings", "doclen", "docstore")
+BUCKETED = ("postings", "docstore")
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
     postings: DataFrame  # docno, dl, term, tf
-    doclen: DataFrame  # docno, dl
     lexicon: DataFrame  # term, df, cf
     stats: DataFrame  # one row
-    docstore: DataFrame  # docno, text_raw, text_tok
+    docstore: DataFrame  # docno, dl, text_raw, text_tok (and title)
     n_max: int = 1
 
+    @property
+    def doclen(self) -> DataFrame:
+        """Tokens per document; empty documents count as 0."""
+        return self.docstore.select("docno", "dl")
 
-def tokenised(
-    corpus: DataFrame,
+
+def index_terms(
     n_max: int = 1,
     lower: bool = True,
     title: bool = False,
     tokenizer: tx.Tokenizer = tx.word_tokens,
-) -> DataFrame:
-    """docno, text and the array of index terms of each document."""
-    found = tx.terms(F.col("text"), n_max, lower, tokenizer)
+    text: str = "text",
+) -> Column:
+    """Array of the index terms of a row, the title's words first when asked for."""
+    found = tx.terms(F.col(text), n_max, lower, tokenizer)
     if title:
         found = F.concat(tx.words(F.col("title"), lower, tokenizer), found)
-    return corpus.select("docno", "text", tx.indexable(found).alias("terms"))
+    return tx.indexable(found)
+
+
+def tokenised(corpus: DataFrame, n_max: int = 1, **options) -> DataFrame:
+    return corpus.select("docno", index_terms(n_max, **options).alias("terms"))
 
 
 def count_terms(documents: DataFrame) -> DataFrame:
@@ -51,9 +59,13 @@ def count_terms(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_lengths(documents: DataFrame) -> DataFrame:
-    """Tokens per document; empty documents count as 0."""
-    return documents.select("docno", F.size("terms").alias("dl"))
+def document_frequencies(documents: DataFrame) -> DataFrame:
+    """term, df straight from the documents: only one row per term and task travels."""
+    return (
+        documents.select(F.explode(F.array_distinct("terms")).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
 
 
 def build_lexicon(postings: DataFrame) -> DataFrame:
@@ -87,52 +99,56 @@ def collection_stats(doclen: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def document_store(documents: DataFrame) -> DataFrame:
-    """Texts by docno: the whole raw text, and the indexed text up to the stored length."""
-    return documents.select(
+def document_store(corpus: DataFrame, n_max: int = 1, **options) -> DataFrame:
+    """One row per document: length, whole raw text, indexed text up to the stored length."""
+    kept = [c for c in ("title",) if c in corpus.columns]
+    return corpus.select(
         F.left(F.col("docno"), F.lit(tx.MAX_DOCNO_CHARS)).alias("docno"),
+        *kept,
         F.col("text").alias("text_raw"),
+        index_terms(n_max, **options).alias("terms"),
+    ).select(
+        "docno",
+        F.size("terms").alias("dl"),
+        *kept,
+        "text_raw",
         F.left(tx.joined(F.col("terms")), F.lit(tx.MAX_STORED_CHARS)).alias("text_tok"),
     )
 
 
 def build_index(corpus: DataFrame, n_max: int = 1, **options) -> LexicalIndex:
-    """All five tables as lazy DataFrames."""
-    documents = tokenised(corpus, n_max, **options)
-    postings = count_terms(documents)
-    doclen = document_lengths(documents)
+    """All tables as lazy DataFrames."""
+    store = document_store(corpus, n_max, **options)
+    postings = count_terms(tokenised(corpus, n_max, **options))
     lexicon = build_lexicon(postings)
-    return LexicalIndex(
-        postings, doclen, lexicon, collection_stats(doclen, lexicon),
-        document_store(documents), n_max,
-    )
+    stats = collection_stats(store.select("docno", "dl"), lexicon)
+    return LexicalIndex(postings, lexicon, stats, store, n_max)
 
 
 def write_index(
     corpus: DataFrame, location: str, n_max: int = 1, buckets: int | None = None, **options
 ) -> LexicalIndex:
-    """Write the five tables below ``location``, replacing what is there, and open them.
+    """Write the tables below ``location``, replacing what is there, and open them.
 
-    The corpus is shuffled once, by docno, as text (smaller than its postings);
-    counting and the bucketed writes then stay local to a task.  Runs jobs.
+    The corpus is shuffled once, by docno, as text (smaller than its postings),
+    into the document store.  The postings are counted from the store bucket by
+    bucket, without another shuffle.  Runs jobs.
     """
     spark = corpus.sparkSession
     buckets = buckets or task_count(spark)
-    documents = tokenised(corpus.repartition(buckets, "docno"), n_max, **options)
-    parts = {
-        "postings": count_terms(documents),
-        "doclen": document_lengths(documents),
-        "docstore": document_store(documents),
-    }
-    for name, df in parts.items():
-        _save_bucketed(df, f"{location}/{name}", buckets, "term" if name == "postings" else "docno")
-    plain = spark.read.parquet
-    build_lexicon(plain(f"{location}/postings")).write.mode("overwrite").parquet(
-        f"{location}/lexicon"
+    _save_bucketed(
+        document_store(corpus.repartition(buckets, "docno"), n_max, **options),
+        f"{location}/docstore", buckets, "docno",
+    )
+    store = _open_bucketed(spark, f"{location}/docstore", buckets)
+    documents = store.select("docno", index_terms(n_max, text="text_raw", **options).alias("terms"))
+    _save_bucketed(count_terms(documents), f"{location}/postings", buckets, "term")
+    postings = spark.read.parquet(f"{location}/postings")
+    build_lexicon(postings).write.mode("overwrite").parquet(f"{location}/lexicon")
+    stats = collection_stats(
+        store.select("docno", "dl"), spark.read.parquet(f"{location}/lexicon")
     )
-    collection_stats(
-        plain(f"{location}/doclen"), plain(f"{location}/lexicon")
-    ).withColumn("n_max", F.lit(n_max)).withColumn("buckets", F.lit(buckets)).write.mode(
+    stats.withColumn("n_max", F.lit(n_max)).withColumn("buckets", F.lit(buckets)).write.mode(
         "overwrite"
     ).parquet(f"{location}/stats")
     return open_index(spark, location)

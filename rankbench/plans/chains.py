@@ -10,6 +10,7 @@ from rankbench.functions import text as tx
 from rankbench.operators import dense, lexical, pairs
 from rankbench.operators.lexicon_index import LexicalIndex
 from rankbench.operators.ranking import TOPK, as_run, reranked
+from rankbench.session import checkpointed
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -45,56 +46,50 @@ def with_corpus_text(corpus: DataFrame) -> Step:
     return lambda run: run.join(corpus.select("docno", "text"), "docno", "left")
 
 
-def bm25_dense(
-    topics: DataFrame,
-    index: LexicalIndex,
-    topic_vectors: DataFrame,
-    vectors: DataFrame,
-    k: int = TOPK,
-    **options,
-) -> DataFrame:
-    """BM25 candidates ordered by cosine of the raw query's vector."""
-    return chain(
-        lexical.retrieve(topics, index, k=k, **options),
-        lambda run: dense.rescore_dense(run.drop("score", "rank"), topic_vectors, vectors),
+def rerank_dense(topic_vectors: DataFrame, vectors: DataFrame) -> Step:
+    """Orders candidates by cosine of the raw query's vector."""
+    return lambda run: chain(
+        run.select("qid", "docno"),
+        lambda rows: dense.rescore_dense(rows, topic_vectors, vectors),
         reranked,
     ).select("qid", "docno", "score", "rank")
 
 
-def bm25_pair(
-    topics: DataFrame,
-    index: LexicalIndex,
-    scorer=None,
-    k: int = TOPK,
-    text_source: str = "text_raw",
-    **options,
-) -> DataFrame:
-    """BM25 candidates ordered by the pair scorer on the raw query and stored text."""
-    return chain(
-        lexical.retrieve(topics, index, k=k, **options).drop("score", "rank"),
-        with_index_text(index, text_source),
+def rerank_pair(topics: DataFrame, texts: Step, scorer=None) -> Step:
+    """Orders candidates by the pair scorer on the raw query and the text ``texts`` adds."""
+    return lambda run: chain(
+        run.select("qid", "docno"),
+        texts,
         with_query(topics),
-        lambda run: pairs.score_pairs(run, scorer),
+        lambda rows: pairs.score_pairs(rows, scorer),
         reranked,
     ).select("qid", "docno", "score", "rank")
 
 
-def dense_pair(
-    topics: DataFrame,
-    corpus: DataFrame,
-    topic_vectors: DataFrame,
-    vectors: DataFrame,
-    scorer=None,
-    k: int = TOPK,
+def bm25_dense(topics, index, topic_vectors, vectors, k: int = TOPK, **options) -> DataFrame:
+    """BM25 candidates, then cosine."""
+    return chain(
+        lexical.retrieve(topics, index, k=k, **options),
+        rerank_dense(topic_vectors, vectors),
+    )
+
+
+def bm25_pair(
+    topics, index, scorer=None, k: int = TOPK, text_source: str = "text_raw", **options
 ) -> DataFrame:
-    """Cosine candidates ordered by the pair scorer on the raw corpus text."""
+    """BM25 candidates, then the pair scorer on a stored text."""
     return chain(
-        dense.retrieve_dense(topic_vectors, vectors, k).drop("score", "rank"),
-        with_corpus_text(corpus),
-        with_query(topics),
-        lambda run: pairs.score_pairs(run, scorer),
-        reranked,
-    ).select("qid", "docno", "score", "rank")
+        lexical.retrieve(topics, index, k=k, **options),
+        rerank_pair(topics, with_index_text(index, text_source), scorer),
+    )
+
+
+def dense_pair(topics, corpus, topic_vectors, vectors, scorer=None, k: int = TOPK) -> DataFrame:
+    """Cosine candidates, then the pair scorer on the corpus text."""
+    return chain(
+        dense.retrieve_dense(topic_vectors, vectors, k),
+        rerank_pair(topics, with_corpus_text(corpus), scorer),
+    )
 
 
 def run_matrix(
@@ -106,16 +101,22 @@ def run_matrix(
     vectors: DataFrame,
     k: int = TOPK,
 ) -> DataFrame:
-    """All systems over one topic set: system, qid, docno, rank, score."""
+    """All systems over one topic set: system, qid, docno, rank, score.
+
+    The first-stage runs feed the rerankers too, so they are checkpointed.
+    Runs jobs.
+    """
+    bm25 = checkpointed(lexical.retrieve(topics, index, k=k))
+    cosine = checkpointed(dense.retrieve_dense(topic_vectors, vectors, k))
     runs = {
-        "bm25": lexical.retrieve(topics, index, k=k),
+        "bm25": bm25,
         "bm25_ng2": lexical.retrieve(topics, bigram_index, k=k),
         "tfidf": lexical.retrieve(topics, index, lexical.tfidf_weights(), k=k),
-        "dense": dense.retrieve_dense(topic_vectors, vectors, k),
+        "dense": cosine,
         "pair": pairs.retrieve_pairs(topics, corpus, k),
-        "bm25_dense": bm25_dense(topics, index, topic_vectors, vectors, k),
-        "bm25_pair": bm25_pair(topics, index, k=k),
-        "dense_pair": dense_pair(topics, corpus, topic_vectors, vectors, k=k),
+        "bm25_dense": chain(bm25, rerank_dense(topic_vectors, vectors)),
+        "bm25_pair": chain(bm25, rerank_pair(topics, with_index_text(index))),
+        "dense_pair": chain(cosine, rerank_pair(topics, with_corpus_text(corpus))),
     }
     return reduce(
         lambda a, b: a.unionByName(b), [as_run(run, name) for name, run in runs.items()]

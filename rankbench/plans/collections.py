@@ -54,9 +54,11 @@ class Collection:
             fresh_path(self.spark, f"{self.name}-vectors"),
         )
 
-    @property
+    @cached_property
     def topic_vectors(self) -> DataFrame:
-        return dense.encode_texts(self.topics, self.index)
+        path = fresh_path(self.spark, f"{self.name}-topic-vectors")
+        dense.encode_texts(self.topics, self.index).write.parquet(path)
+        return self.spark.read.parquet(path)
 
 
 _opened: dict[tuple[str, str, str], Collection] = {}

@@ -280,7 +280,7 @@ def index_term_sample(spark, sf_dir):
 
 @query
 def index_docstore(spark, sf_dir):
-    return bench(spark, sf_dir).index.docstore
+    return bench(spark, sf_dir).index.docstore.select("docno", "text_raw", "text_tok")
 
 
 # --- retrieval --------------------------------------------------------------
@@ -409,7 +409,8 @@ def dense_encode(spark, sf_dir):
 
 @query
 def dense_encode_queries(spark, sf_dir):
-    return _long(bench(spark, sf_dir).topic_vectors, "qid")
+    c = bench(spark, sf_dir)
+    return _long(dense.encode_texts(c.topics, c.index), "qid")
 
 
 @query
