@@ -159,7 +159,7 @@ def retrieve_pairs_with(
         out = np.empty((len(queries), len(docs)))
         for i, query in enumerate(queries["query"]):
             for start in range(0, len(docs), batch):
-                texts = docs["text"].iloc[start : start + batch]
+                texts = docs["text"].iloc[start : start + batch].reset_index(drop=True)
                 asked = pd.Series([query] * len(texts))
                 out[i, start : start + len(texts)] = model(asked, texts)
         return out
