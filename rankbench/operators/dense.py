@@ -11,7 +11,7 @@ from rankbench.functions import text as tx
 from rankbench.functions.hashing import sign, slot
 from rankbench.functions.vectors import cosine, unit
 from rankbench.operators.exhaustive import exhaustive_top_k
-from rankbench.operators.joins import hot_keys, lookup_join
+from rankbench.operators.joins import fetch, hot_keys, lookup_join
 from rankbench.operators.lexicon_index import LexicalIndex
 from rankbench.operators.ranking import TOPK, rounded
 
@@ -162,8 +162,8 @@ def rescore_dense(run: DataFrame, topic_vectors: DataFrame, vectors: DataFrame)
     queries = topic_vectors.select("qid", F.col("embedding").alias("_query"))
     docs = vectors.select("docno", F.col("embedding").alias("_doc"))
     return (
-        run.join(queries, "qid", "left")
-        .join(docs, "docno", "left")
+        fetch(run, docs, "left")
+        .join(queries, "qid", "left")
         .withColumn("score", rounded(cosine(F.col("_query"), F.col("_doc"))))
         .drop("_query", "_doc")
     )

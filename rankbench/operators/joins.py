@@ -33,3 +33,21 @@ def lookup_join(
     warm = marked.where(F.col("_hot")).drop("_hot").join(hot_rows, key)
     cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(lookup, key, how)
     return warm.unionByName(cold)
+
+
+# Candidate rows up to this many are broadcast to filter a large table; a docno
+# is at most 50 characters.
+BROADCAST_ROWS = 200_000
+
+
+def fetch(run: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``run`` joined to a large table with one row per docno.
+
+    A short run first cuts the table down to its own documents where they lie,
+    so the table is read but neither shuffled nor sorted; a longer run takes the
+    ordinary join.  Counts the run, which should be materialised.
+    """
+    if run.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(run.select("docno").distinct())
+        table = table.join(wanted, "docno", "left_semi")
+    return run.join(table, "docno", how)

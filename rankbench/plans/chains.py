@@ -1,4 +1,8 @@
-"""Retrieve-then-rerank chains, each one a lazy plan from topics to run."""
+"""Retrieve-then-rerank chains.
+
+The candidates of a first stage are few and used twice (to pick the documents
+and to score them), so they are checkpointed between the stages.
+"""
 
 from collections.abc import Callable
 from functools import reduce
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankbench.functions import text as tx
 from rankbench.operators import dense, lexical, pairs
+from rankbench.operators.joins import fetch
 from rankbench.operators.lexicon_index import LexicalIndex
 from rankbench.operators.ranking import TOPK, as_run, reranked
 from rankbench.session import checkpointed
@@ -36,14 +41,12 @@ def with_query(topics: DataFrame) -> Step:
 
 def with_index_text(index: LexicalIndex, source: str = "text_raw") -> Step:
     """Puts a stored text beside each run row."""
-    return lambda run: run.join(
-        index.docstore.select("docno", F.col(source).alias("text")), "docno"
-    )
+    return lambda run: fetch(run, index.docstore.select("docno", F.col(source).alias("text")))
 
 
 def with_corpus_text(corpus: DataFrame) -> Step:
     """Puts the corpus text beside each run row; rows without one stay."""
-    return lambda run: run.join(corpus.select("docno", "text"), "docno", "left")
+    return lambda run: fetch(run, corpus.select("docno", "text"), "left")
 
 
 def rerank_dense(topic_vectors: DataFrame, vectors: DataFrame) -> Step:
@@ -70,6 +73,7 @@ def bm25_dense(topics, index, topic_vectors, vectors, k: int = TOPK, **options)
     """BM25 candidates, then cosine."""
     return chain(
         lexical.retrieve(topics, index, k=k, **options),
+        checkpointed,
         rerank_dense(topic_vectors, vectors),
     )
 
@@ -80,6 +84,7 @@ def bm25_pair(
     """BM25 candidates, then the pair scorer on a stored text."""
     return chain(
         lexical.retrieve(topics, index, k=k, **options),
+        checkpointed,
         rerank_pair(topics, with_index_text(index, text_source), scorer),
     )
 
@@ -88,6 +93,7 @@ def dense_pair(topics, corpus, topic_vectors, vectors, scorer=None, k: int = TOP
     """Cosine candidates, then the pair scorer on the corpus text."""
     return chain(
         dense.retrieve_dense(topic_vectors, vectors, k),
+        checkpointed,
         rerank_pair(topics, with_corpus_text(corpus), scorer),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rankbench.operators import dense, lexicon_index
 from rankbench.operators.lexicon_index import LexicalIndex
 from rankbench.plans import views
-from rankbench.session import fresh_path
+from rankbench.session import fresh_path, spread
 
 
 class Collection:
@@ -22,9 +22,9 @@ class Collection:
     def _view(self, what: str, *extra) -> DataFrame:
         return getattr(views, f"{self.name}_{what}")(self.spark, self.sf_dir, *extra)
 
-    @property
+    @cached_property
     def corpus(self) -> DataFrame:
-        return self._view("corpus")
+        return spread(self._view("corpus"))
 
     @property
     def topics(self) -> DataFrame:
@@ -36,7 +36,7 @@ class Collection:
 
     def write_index(self, n_max: int = 1) -> LexicalIndex:
         return lexicon_index.write_index(
-            self.corpus, fresh_path(self.spark, f"{self.name}-index"), n_max
+            self._view("corpus"), fresh_path(self.spark, f"{self.name}-index"), n_max
         )
 
     @cached_property

@@ -28,7 +28,7 @@ from rankbench.operators import (
 from rankbench.operators.ranking import TOPK, as_run, rounded, top_k
 from rankbench.plans import chains, views
 from rankbench.plans.collections import Collection, collection
-from rankbench.session import fresh_path
+from rankbench.session import checkpointed, fresh_path
 from rankbench.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,7 +444,7 @@ def topk_rank_base0(spark, sf_dir):
 @query
 def join_run_text(spark, sf_dir):
     c = bench(spark, sf_dir)
-    run = lexical.retrieve(c.topics, c.index)
+    run = checkpointed(lexical.retrieve(c.topics, c.index))
     return chains.chain(run, chains.with_corpus_text(c.corpus)).select(
         "qid", "docno", "rank", "text"
     )
@@ -453,7 +453,7 @@ def join_run_text(spark, sf_dir):
 @query
 def join_run_docstore(spark, sf_dir):
     c = bench(spark, sf_dir)
-    run = lexical.retrieve(c.topics, c.index)
+    run = checkpointed(lexical.retrieve(c.topics, c.index))
     return chains.chain(run, chains.with_index_text(c.index, "text_tok")).select(
         "qid", "docno", "rank", "text"
     )

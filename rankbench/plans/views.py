@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankbench.functions import text as tx
-from rankbench.operators.numbering import number_by_digest
 from rankbench.functions.hashing import digest
+from rankbench.operators.joins import fetch
+from rankbench.operators.numbering import number_by_digest
+from rankbench.session import checkpointed, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,12 +99,10 @@ def bench_qrels(spark, sf_dir, index) -> DataFrame:
     needles = topics.join(rarest, "qid").select(
         "qid", "term", _framed(F.col("words")).alias("needle")
     )
-    candidates = index.postings.select("docno", "term").join(needles, "term")
+    candidates = checkpointed(index.postings.select("docno", "term").join(needles, "term"))
     return (
-        candidates.join(
-            bench_corpus(spark, sf_dir).select("docno", tx.words(F.col("text")).alias("words")),
-            "docno",
-        )
+        fetch(candidates, index.docstore.select("docno", "text_raw"))
+        .withColumn("words", tx.words(F.col("text_raw")))
         .where(F.contains(_framed(F.col("words")), F.col("needle")))
         .select("qid", F.lit("Q0").alias("iter"), "docno", F.lit(1).alias("label"))
     )
@@ -218,7 +218,9 @@ def class_qrels(spark, sf_dir) -> DataFrame:
 
 def shift_by_language(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """English against the other languages: a shift that must be found."""
-    docs = table(spark, sf_dir, "documents").select(_id("doc_id").alias("id"), "text", "lang")
+    docs = spread(
+        table(spark, sf_dir, "documents").select(_id("doc_id").alias("id"), "text", "lang")
+    )
     return (
         docs.where(F.col("lang") == "en").drop("lang"),
         docs.where(F.col("lang") != "en").drop("lang"),

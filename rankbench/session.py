@@ -47,3 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all tasks.
+
+    A small table often sits in one file with one row group, which a single
+    task would read and process alone.  A scan with more splits than tasks,
+    as any large table has, is returned as it is.  For scans only: looking at
+    the splits must not run a job.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() > wanted else scan.repartition(wanted)
