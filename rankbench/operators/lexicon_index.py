@@ -12,6 +12,8 @@ from rankbench.session import task_count
 
 # Tables laid out by docno: a group by (qid, docno) over them needs no shuffle.
 BUCKETED = ("postings", "docstore")
+DOCS_PER_BUCKET = 100_000
+MAX_BUCKETS = 100_000  # Spark's own default limit
 
 
 @dataclass(frozen=True)
@@ -125,6 +127,15 @@ def build_index(corpus: DataFrame, n_max: int = 1, **options) -> LexicalIndex:
     return LexicalIndex(postings, lexicon, stats, store, n_max)
 
 
+def bucket_count(corpus: DataFrame) -> int:
+    """Buckets for a corpus: a bucket is one task, so its documents are bounded.
+
+    Runs a count, which Parquet answers from its footers.
+    """
+    wanted = -(-corpus.count() // DOCS_PER_BUCKET)
+    return min(max(task_count(corpus.sparkSession), wanted), MAX_BUCKETS)
+
+
 def write_index(
     corpus: DataFrame, location: str, n_max: int = 1, buckets: int | None = None, **options
 ) -> LexicalIndex:
@@ -135,7 +146,7 @@ def write_index(
     bucket, without another shuffle.  Runs jobs.
     """
     spark = corpus.sparkSession
-    buckets = buckets or task_count(spark)
+    buckets = buckets or bucket_count(corpus)
     _save_bucketed(
         document_store(corpus.repartition(buckets, "docno"), n_max, **options),
         f"{location}/docstore", buckets, "docno",

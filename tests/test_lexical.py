@@ -126,3 +126,22 @@ def test_reranking_permutes_its_candidates(spark, chat):
     ):
         pairs = run.select("qid", "docno")
         assert pairs.exceptAll(first).isEmpty() and first.exceptAll(pairs).isEmpty()
+
+
+def test_postings_are_counted_without_a_shuffle(spark, chat):
+    stored = chat.index.docstore.select(
+        "docno", lexicon_index.index_terms(text="text_raw").alias("terms")
+    )
+    plan = lexicon_index.count_terms(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    corpus = skewed(spark)
+    assert lexicon_index.bucket_count(corpus) == 8
+    monkeypatch.setattr(lexicon_index, "DOCS_PER_BUCKET", 20)
+    index = lexicon_index.write_index(corpus, fresh_path(spark, "wide"))
+    assert lexicon_index.bucket_count(corpus) == 20
+    plan = index.postings.groupBy("docno").count()._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 20 out of 20" in plan and "Exchange" not in plan
+    assert index.stats.first()["n_docs"] == 400
