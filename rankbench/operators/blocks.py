@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rankbench.functions import text as tx
 from rankbench.functions.hashing import draw, share
 from rankbench.operators.lexicon_index import tokenised
-from rankbench.session import task_count
 
 VOCABULARY = 30_000
 UNKNOWN_ID = 0
@@ -46,7 +45,7 @@ def token_ids(
     (bounded by its size) and gathering them again stay inside that layout.
     """
     laid = corpus.where(F.col("text").isNotNull()).select(*keys, "text").repartition(
-        task_count(corpus.sparkSession), keys[0]
+        F.col(keys[0])
     )
     found = (
         laid.select(*keys, F.posexplode_outer(tx.words(F.col("text"))).alias("pos", "term"))

@@ -46,7 +46,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def task_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks that can run at once, as far as shuffles use them."""
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(shuffles, spark.sparkContext.defaultParallelism)
 
 
 def spread(scan: DataFrame) -> DataFrame:
