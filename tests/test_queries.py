@@ -5,7 +5,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+from rankbench.plans.oracle import oracles
+from rankbench.plans.queries import QUERIES
+
+SQL = oracles()
 ROWS_ONLY = {"diag_shift_auc", "diag_shift_features", "train_pair_scorer"}
 
 
@@ -30,6 +33,11 @@ def test_trained_pair_scorer_scores_every_pair(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_every_query_is_registered():
+    assert QUERIES.items() <= entry_point.queries().items()
+    assert SQL.items() <= entry_point.oracle_sql().items()
+
+
 def test_flagship(spark):
     rows = entry_point.entry(spark).collect()
     assert len(rows) == 7 and all(0 <= r["value"] <= 1 for r in rows)
