@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankbench.llm import simhash
+from rankbench.llm import mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,26 @@ def op9_simhash_dedup(spark, sf_dir):
     )
 
 
+def op7_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_hash_tree_shards(spark, sf_dir):
+    shards = sharding.BASE_SHARDS
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards)
+    grown = sharding.shard_of(F.col("doc_id"), sharding.topology(shards + 1))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        grown.alias("grown_shard"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in [
+        op7_mix_sources,
         op9_simhash_dedup,
+        op10_hash_tree_shards,
     ]
 }
 
