@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankbench.llm import mixing, sharding, simhash
+from rankbench.llm import mixing, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,17 @@ def op9_simhash_dedup(spark, sf_dir):
     )
 
 
+def op6_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    return found.select(
+        "doc_id",
+        *[secrets.counted(F.col("_base"), k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(secrets.written(F.col("_base")), 256).alias("base_sha256"),
+        secrets.written(F.col("_spans")).alias("spans"),
+    )
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,7 @@ def op10_hash_tree_shards(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
+        op6_secret_scan,
         op7_mix_sources,
         op9_simhash_dedup,
         op10_hash_tree_shards,
