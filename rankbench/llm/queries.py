@@ -3,13 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankbench.llm import mixing, secrets, sharding, simhash
+from rankbench.llm import mixing, secrets, sharding, simhash, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -47,9 +51,38 @@ QUERIES = {
     for f in [
         op6_secret_scan,
         op7_mix_sources,
+        op8_embedding_dedup,
         op9_simhash_dedup,
         op10_hash_tree_shards,
     ]
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # every pair of vectors: for the small tables
+    "op8_embedding_dedup": """
+        with recursive vectors as (
+            select vec_id, embedding::double[] as e, sqrt(list_dot_product(e, e)) as norm
+            from embeddings
+            where len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links as (
+            select a.vec_id as a, b.vec_id as b
+            from vectors a join vectors b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+        ),
+        reach(a, b) as (
+            select a, b from links
+            union
+            select reach.a, links.b from reach join links on reach.b = links.a
+        )
+        select
+            e.vec_id,
+            (select count(*) from links where a = e.vec_id) as n_links,
+            least(e.vec_id, coalesce((select min(b) from reach where a = e.vec_id), e.vec_id))
+                as component_id,
+            component_id = e.vec_id as kept
+        from embeddings e
+    """,
+}
