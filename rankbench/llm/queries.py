@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankbench.llm import mixing, secrets, sharding, simhash, vector_dedup
+from rankbench.llm import mixing, packing, secrets, sharding, simhash, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op9_simhash_dedup(spark, sf_dir):
     )
 
 
+def word_bpe_path() -> str:
+    """The public tokenizer file; it is installed wherever a task runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_pattern_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
 def op6_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
@@ -49,6 +60,7 @@ def op10_hash_tree_shards(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
+        op4_pattern_packing,
         op6_secret_scan,
         op7_mix_sources,
         op8_embedding_dedup,
@@ -76,13 +88,16 @@ ORACLES: dict[str, str] = {
             select a, b from links
             union
             select reach.a, links.b from reach join links on reach.b = links.a
-        )
+        ),
+        lowest as (select a, min(b) as low from reach group by a),
+        degree as (select a, count(*) as n from links group by a)
         select
             e.vec_id,
-            (select count(*) from links where a = e.vec_id) as n_links,
-            least(e.vec_id, coalesce((select min(b) from reach where a = e.vec_id), e.vec_id))
-                as component_id,
-            component_id = e.vec_id as kept
+            coalesce(degree.n, 0) as n_links,
+            least(e.vec_id, coalesce(lowest.low, e.vec_id)) as component_id,
+            coalesce(lowest.low, e.vec_id) >= e.vec_id as kept
         from embeddings e
+        left join lowest on lowest.a = e.vec_id
+        left join degree on degree.a = e.vec_id
     """,
 }
