@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankbench.llm import mixing, packing, secrets, sharding, simhash, vector_dedup
+from rankbench.llm import mixing, packing, secrets, sharding, simhash, toxicity, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,25 @@ def op9_simhash_dedup(spark, sf_dir):
     )
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labelled documents that are not held out."""
+    return toxicity.learn(
+        toxicity.sample_of(docs, labels.where(~toxicity.held_out(F.col("doc_id"), 4, 2)))
+    )
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.score(F.col("text"), model).alias("score"))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def word_bpe_path() -> str:
     """The public tokenizer file; it is installed wherever a task runs."""
     import public_tokenizers
@@ -60,6 +79,7 @@ def op10_hash_tree_shards(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
+        op1_toxicity,
         op4_pattern_packing,
         op6_secret_scan,
         op7_mix_sources,
