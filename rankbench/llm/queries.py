@@ -3,7 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankbench.llm import mixing, packing, secrets, sharding, simhash, toxicity, vector_dedup
+from rankbench.llm import (
+    langid,
+    mixing,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+    vector_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +49,20 @@ def op1_toxicity(spark, sf_dir):
     )
 
 
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = langid.learn(langid.sample_of(docs.where(~held)))
+    found = docs.select("doc_id", langid.identify(F.col("text"), model, spark).alias("found"))
+    return found.select(
+        "doc_id",
+        held.alias("held_out"),
+        F.col("found.best").alias("lang_pred"),
+        "found.score",
+        (F.col("found.lang") == langid.UNKNOWN).alias("rejected"),
+    )
+
+
 def word_bpe_path() -> str:
     """The public tokenizer file; it is installed wherever a task runs."""
     import public_tokenizers
@@ -80,6 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         op1_toxicity,
+        op2_language_id,
         op4_pattern_packing,
         op6_secret_scan,
         op7_mix_sources,
