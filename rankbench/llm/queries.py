@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankbench.llm import (
+    html_text,
     langid,
     mixing,
     packing,
@@ -74,6 +75,12 @@ def op4_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op5_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html_text.main_text(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
@@ -105,6 +112,7 @@ QUERIES = {
         op1_toxicity,
         op2_language_id,
         op4_pattern_packing,
+        op5_html_extraction,
         op6_secret_scan,
         op7_mix_sources,
         op8_embedding_dedup,
