@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankbench.llm import (
+    ann,
     html_text,
     langid,
     mixing,
@@ -64,6 +65,10 @@ def op2_language_id(spark, sf_dir):
     )
 
 
+def op3_nearest_vectors(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def word_bpe_path() -> str:
     """The public tokenizer file; it is installed wherever a task runs."""
     import public_tokenizers
@@ -111,6 +116,7 @@ QUERIES = {
     for f in [
         op1_toxicity,
         op2_language_id,
+        op3_nearest_vectors,
         op4_pattern_packing,
         op5_html_extraction,
         op6_secret_scan,
