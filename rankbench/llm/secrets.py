@@ -253,29 +253,37 @@ def counted(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def masked(docs: DataFrame, ratio: list[list[float]] | None, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by ``mark``; a null text stays null.
-
-    Overlapping spans are replaced by one mark.  Extra columns are kept.
-    """
+def mask(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with every span replaced by ``mark``, overlapping spans by one."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state, span):
         between = F.substring(
-            F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")
+            text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")
         )
         return F.struct(
             F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(
-                (span["start"] >= state["at"]), F.concat(state["out"], between, F.lit(mark))
-            ).otherwise(state["out"]).alias("out"),
+            F.when(span["start"] >= state["at"], F.concat(state["out"], between, F.lit(mark)))
+            .otherwise(state["out"])
+            .alias("out"),
         )
 
     def ended(state):
-        rest = F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text"))
+        rest = F.substring(text, (state["at"] + 1).cast("int"), F.length(text))
         return F.concat(state["out"], rest)
 
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(
-        F.aggregate("_spans", start, step, ended)
-    )
-    return scan(docs, ratio).withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, ended))
+
+
+def masked(docs: DataFrame, ratio: list[list[float]] | None) -> DataFrame:
+    """``docs`` with secrets masked in ``text``; a null text stays null.
+
+    A column ``n_chars``, where there is one, is counted anew for changed texts.
+    """
+    scanned = scan(docs, ratio)
+    new = {"text": mask(F.col("text"), F.col("_spans"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        marked = F.length(mask(F.col("text"), F.col("_spans"))).cast(kind)
+        new["n_chars"] = F.when(F.size("_spans") > 0, marked).otherwise(F.col("n_chars"))
+    return scanned.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
