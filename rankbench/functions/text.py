@@ -10,9 +10,9 @@ from rankbench.functions.binding import bound
 # Letters, numbers and underscore of any script.  Java's plain \w is ASCII only.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 
-# Limits of the lexical index: fixed values.
+# Limits a stored document table may ask for: fixed values.  Nothing applies them
+# unless they are passed on.
 MAX_TERM_CHARS = 128
-MAX_DOCNO_CHARS = 50
 MAX_STORED_CHARS = 8192
 
 Tokenizer = Callable[[Column], Column]
@@ -71,9 +71,11 @@ def split_on_space(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
 
 
-def indexable(tokens: Column) -> Column:
-    """Tokens short enough for the index."""
-    return F.filter(tokens, lambda t: F.length(t) <= MAX_TERM_CHARS)
+def indexable(tokens: Column, most_chars: int | None = None) -> Column:
+    """All tokens, or those of at most ``most_chars`` characters."""
+    if most_chars is None:
+        return tokens
+    return F.filter(tokens, lambda t: F.length(t) <= most_chars)
 
 
 def titled(title: Column, text: Column, mode: str, n_max: int = 1) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from rankbench.functions import text as tx
 from rankbench.functions.hashing import draw, share
+from rankbench.operators.joins import hot_keys, lookup_join
 from rankbench.operators.lexicon_index import tokenised
+from rankbench.operators.numbering import ordered_sums
 
-VOCABULARY = 30_000
 UNKNOWN_ID = 0
 MASK_ID = 1
 FIRST_ID = 2
@@ -19,21 +20,23 @@ MASK_SHARE = 0.25
 KEPT_LABEL = -100
 
 
-def word_ids(corpus: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """term and id of the ``size`` most frequent words; ids follow (cf desc, term).
+def word_ids(corpus: DataFrame) -> DataFrame:
+    """term, cf and id of every word; ids follow (cf desc, term).
 
-    The cut comes first, so the numbering window sees ``size`` rows.
+    The vocabulary is numbered by a range sort, so it may have any size.  Runs
+    a job.
     """
-    top = (
+    counted = (
         tokenised(corpus)
         .select(F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("cf"))
-        .orderBy(F.col("cf").desc(), "term")
-        .limit(size)
+        .select("term", "cf", (-F.col("cf")).alias("_rarer"), F.lit(1).alias("_one"))
+    )
+    numbered = ordered_sums(counted, ["_rarer", "term"], {"_place": "_one"})
+    return numbered.select(
+        "term", "cf", (F.col("_place") + (FIRST_ID - 1)).cast("int").alias("id")
     )
-    order = Window.orderBy(F.col("cf").desc(), "term")
-    return top.select("term", (F.row_number().over(order) + (FIRST_ID - 1)).alias("id"))
 
 
 def token_ids(
@@ -41,17 +44,17 @@ def token_ids(
 ) -> DataFrame:
     """``keys`` and the array of ids of the text's words in order.
 
-    Texts are laid out by the first key once; looking up ids in the vocabulary
-    (bounded by its size) and gathering them again stay inside that layout.
+    Words are looked up by a join in which frequent ones are set apart; a word
+    that ``vocabulary`` (term, cf, id) lacks gets the unknown id.
     """
-    laid = corpus.where(F.col("text").isNotNull()).select(*keys, "text").repartition(
-        F.col(keys[0])
-    )
-    found = (
-        laid.select(*keys, F.posexplode_outer(tx.words(F.col("text"))).alias("pos", "term"))
-        .join(F.broadcast(vocabulary), "term", "left")
-        .withColumn("id", F.coalesce("id", F.lit(UNKNOWN_ID)))
-    )
+    laid = corpus.where(F.col("text").isNotNull()).select(*keys, "text")
+    found = lookup_join(
+        laid.select(*keys, F.posexplode_outer(tx.words(F.col("text"))).alias("pos", "term")),
+        vocabulary.select("term", "id"),
+        "term",
+        hot_keys(vocabulary, "term", "cf"),
+        "left",
+    ).withColumn("id", F.coalesce("id", F.lit(UNKNOWN_ID)))
     token = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
     return found.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(token)), lambda t: t.id).alias("ids")

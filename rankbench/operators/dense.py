@@ -74,7 +74,7 @@ def encode_texts(
     Terms the index doesn't know have no weight.
     """
     counts = (
-        texts.select(key, F.explode(tx.indexable(tx.terms(F.col(column), index.n_max))).alias("term"))
+        texts.select(key, F.explode(tx.terms(F.col(column), index.n_max)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

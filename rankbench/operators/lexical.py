@@ -8,8 +8,8 @@ from rankbench.operators.joins import HOT_SHARE, hot_keys, lookup_join
 from rankbench.operators.lexicon_index import LexicalIndex
 from rankbench.operators.ranking import TOPK, rounded, top_k
 
-# Query terms up to this many rows are broadcast (a term is at most 128
-# characters); larger topic sets are joined by a shuffle.
+# Query terms up to this many rows are broadcast; larger topic sets are joined by
+# a shuffle.
 BROADCAST_TERMS = 500_000
 
 
@@ -162,7 +162,7 @@ def score_okapi(
     sides = pairs.select(
         key,
         tx.words(F.col("query"), lower).alias("q"),
-        tx.indexable(tx.words(F.col("text"), lower)).alias("d"),
+        tx.words(F.col("text"), lower).alias("d"),
     ).select(key, "q", "d", F.size("d").alias("dl"), F.array_intersect("q", "d").alias("shared"))
 
     def marked(side: str) -> Column:

@@ -12,8 +12,7 @@ from rankbench.session import task_count
 
 # Tables laid out by docno: a group by (qid, docno) over them needs no shuffle.
 BUCKETED = ("postings", "docstore")
-DOCS_PER_BUCKET = 100_000
-MAX_BUCKETS = 100_000  # Spark's own default limit
+BYTES_PER_BUCKET = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -36,12 +35,16 @@ def index_terms(
     title: bool = False,
     tokenizer: tx.Tokenizer = tx.word_tokens,
     text: str = "text",
+    max_term: int | None = None,
 ) -> Column:
-    """Array of the index terms of a row, the title's words first when asked for."""
+    """Array of the index terms of a row, the title's words first when asked for.
+
+    ``max_term`` leaves out longer terms; by default none is.
+    """
     found = tx.terms(F.col(text), n_max, lower, tokenizer)
     if title:
         found = F.concat(tx.words(F.col("title"), lower, tokenizer), found)
-    return tx.indexable(found)
+    return tx.indexable(found, max_term)
 
 
 def tokenised(corpus: DataFrame, n_max: int = 1, **options) -> DataFrame:
@@ -101,11 +104,20 @@ def collection_stats(doclen: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def document_store(corpus: DataFrame, n_max: int = 1, **options) -> DataFrame:
-    """One row per document: length, whole raw text, indexed text up to the stored length."""
+def document_store(
+    corpus: DataFrame, n_max: int = 1, max_stored: int | None = None, **options
+) -> DataFrame:
+    """One row per document: id, length, raw text and indexed text.
+
+    ``max_stored`` cuts the indexed text to so many characters; by default it
+    is whole, as the id and the raw text always are.
+    """
     kept = [c for c in ("title",) if c in corpus.columns]
+    stored = tx.joined(F.col("terms"))
+    if max_stored is not None:
+        stored = F.left(stored, F.lit(max_stored))
     return corpus.select(
-        F.left(F.col("docno"), F.lit(tx.MAX_DOCNO_CHARS)).alias("docno"),
+        "docno",
         *kept,
         F.col("text").alias("text_raw"),
         index_terms(n_max, **options).alias("terms"),
@@ -114,7 +126,7 @@ def document_store(corpus: DataFrame, n_max: int = 1, **options) -> DataFrame:
         F.size("terms").alias("dl"),
         *kept,
         "text_raw",
-        F.left(tx.joined(F.col("terms")), F.lit(tx.MAX_STORED_CHARS)).alias("text_tok"),
+        stored.alias("text_tok"),
     )
 
 
@@ -128,12 +140,13 @@ def build_index(corpus: DataFrame, n_max: int = 1, **options) -> LexicalIndex:
 
 
 def bucket_count(corpus: DataFrame) -> int:
-    """Buckets for a corpus: a bucket is one task, so its documents are bounded.
+    """Buckets for a corpus: a bucket is one task, so its bytes of text are bounded.
 
-    Runs a count, which Parquet answers from its footers.
+    Runs a job that reads the texts' lengths.  Above Spark's own limit,
+    ``spark.sql.sources.bucketing.maxBuckets``, writing raises.
     """
-    wanted = -(-corpus.count() // DOCS_PER_BUCKET)
-    return min(max(task_count(corpus.sparkSession), wanted), MAX_BUCKETS)
+    n_bytes = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(task_count(corpus.sparkSession), -(-int(n_bytes) // BYTES_PER_BUCKET))
 
 
 def write_index(

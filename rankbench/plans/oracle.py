@@ -106,7 +106,7 @@ rows_ as (
 def index_of(docs: str = "docs", topics: str = "topics", n: int = 1, s: str = "", lower=True) -> str:
     return f"""
 toks{s} as (
-  select docno, text, list_filter({terms('text', n, lower)}, lambda t: length(t) <= 128) as terms
+  select docno, text, {terms('text', n, lower)} as terms
   from {docs}),
 post{s} as (
   select docno, dl, term, cast(count(*) as int) as tf
@@ -171,7 +171,7 @@ raw_{name} as (
 
 DOC_VECTORS = encoded("dvec", "select docno, term, tf from post", "select docno from docs", "docno")
 TOPIC_VECTORS = encoded(
-    "qvec", "select qid, term, qtf as tf from qt where length(term) <= 128",
+    "qvec", "select qid, term, qtf as tf from qt",
     "select qid from topics", "qid",
 )
 
@@ -323,8 +323,7 @@ limits as (
 
 WORD_IDS = """
 word_ids as (
-  select term, row_number() over (order by cf desc, term) + 1 as id
-  from (select term, cf from lex order by cf desc, term limit 30000)),
+  select term, row_number() over (order by cf desc, term) + 1 as id from lex),
 words as (
   select docno, unnest(w) as term, unnest(range(1, len(w) + 1)) as pos
   from (select docno, """ + toks("text") + """ as w from docs)),
@@ -468,8 +467,13 @@ cut as (
         "index_term_sample": with_(*bench_index, select=f"""
             select term, df, cf from lex order by {digest('42', 'term')} limit 10"""),
         "index_docstore": with_(*bench_index, select=f"""
-            select left(docno, 50) as docno, text as text_raw,
-                   left({spaced('terms')}, 8192) as text_tok from toks"""),
+            select docno, text as text_raw,
+                   left({spaced('list_filter(terms, lambda t: length(t) <= 128)')}, 8192) as text_tok
+            from toks"""),
+        "index_long_docno": with_(
+            *bench_index, bm25(), rerank_pair("reranked", "bm25"), select="""
+            select qid, 'https://archive.example.org/collection/volume/document/' || docno as docno,
+                   score, rank from reranked"""),
         "retrieve_bm25": with_(*bench_index, bm25(), select=run + "bm25"),
         "retrieve_bm25_ng2": with_(BENCH, index2, bm25(s="2"), select=run + "bm25"),
         "retrieve_tfidf": with_(*bench_index, TFIDF, select=run + "tfidf"),
@@ -507,7 +511,7 @@ sets as (
         "join_run_text": with_(*bench_index, bm25(), select="""
             select qid, docno, rank, text from bm25 left join docs using (docno)"""),
         "join_run_docstore": with_(*bench_index, bm25(), select=f"""
-            select qid, docno, rank, left({spaced('terms')}, 8192) as text
+            select qid, docno, rank, {spaced('terms')} as text
             from bm25 join toks using (docno)"""),
         "rerank_bm25_dense": with_(
             *bench_vectors, bm25(), rerank_cosine("reranked", "bm25"), select=run + "reranked"),

@@ -139,9 +139,29 @@ def test_postings_are_counted_without_a_shuffle(spark, chat):
 def test_buckets_grow_with_the_corpus(spark, monkeypatch):
     corpus = skewed(spark)
     assert lexicon_index.bucket_count(corpus) == 8
-    monkeypatch.setattr(lexicon_index, "DOCS_PER_BUCKET", 20)
+    n_bytes = sum(len(r["text"].encode()) for r in corpus.collect())
+    monkeypatch.setattr(lexicon_index, "BYTES_PER_BUCKET", n_bytes // 20 + 1)
+    wide = lexicon_index.bucket_count(corpus)
+    assert 15 < wide <= 20
     index = lexicon_index.write_index(corpus, fresh_path(spark, "wide"))
-    assert lexicon_index.bucket_count(corpus) == 20
     plan = index.postings.groupBy("docno").count()._jdf.queryExecution().executedPlan().toString()
-    assert "SelectedBucketsCount: 20 out of 20" in plan and "Exchange" not in plan
+    assert f"SelectedBucketsCount: {wide} out of {wide}" in plan and "Exchange" not in plan
     assert index.stats.first()["n_docs"] == 400
+
+
+def test_ids_and_terms_are_whole(spark):
+    """Ids that share 50 characters are two documents; terms of any length are found."""
+    long = "x" * 300
+    corpus = spark.createDataFrame(
+        [("p" * 60 + "1", f"same {long}"), ("p" * 60 + "2", f"same {long}"), ("q", "other")],
+        "docno string, text string",
+    )
+    topics = spark.createDataFrame([("t", long)], "qid string, query string")
+    for index in (
+        lexicon_index.build_index(corpus),
+        lexicon_index.write_index(corpus, fresh_path(spark, "whole")),
+    ):
+        assert {r["docno"] for r in index.docstore.collect()} == {"p" * 60 + "1", "p" * 60 + "2", "q"}
+        found = chains.bm25_pair(topics, index).collect()
+        assert {r["docno"] for r in found} == {"p" * 60 + "1", "p" * 60 + "2"}
+        assert index.docstore.where("docno != 'q'").first()["text_tok"] == f"same {long}"

@@ -46,8 +46,10 @@ def test_jaccard(spark):
     assert value("a a", "a") == 1.0
 
 
-def test_long_terms_are_dropped(spark):
-    assert one(spark, tx.indexable(tx.words(F.col("t"))), t="a " + "b" * 129) == ["a"]
+def test_long_terms_are_dropped_only_when_asked(spark):
+    words = tx.words(F.col("t"))
+    assert one(spark, tx.indexable(words), t="a " + "b" * 129) == ["a", "b" * 129]
+    assert one(spark, tx.indexable(words, 128), t="a " + "b" * 129) == ["a"]
 
 
 @settings(max_examples=5, deadline=None)
