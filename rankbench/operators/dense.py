@@ -135,13 +135,19 @@ def open_vectors(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.parquet(location)
 
 
-def _cosine_block(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
-    def rows(frame):
+def cosine_scorer():
+    """Block scorer of cosines; the queries' side is made once."""
+
+    def rows(frame: pd.DataFrame) -> np.ndarray:
         matrix = np.stack(frame["embedding"].to_numpy()).astype("float64")
         size = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
-    return rows(queries) @ rows(docs).T
+    def for_queries(queries: pd.DataFrame):
+        left = rows(queries)
+        return lambda docs: left @ rows(docs).T
+
+    return for_queries
 
 
 def retrieve_dense(
@@ -151,7 +157,7 @@ def retrieve_dense(
     return exhaustive_top_k(
         topics.select("qid", "embedding"),
         vectors.select("docno", "embedding"),
-        _cosine_block,
+        cosine_scorer,
         k,
         **options,
     )

@@ -1,10 +1,12 @@
 """Exact top-k of every query over every document with a block scorer.
 
-The scorer fills a small matrix at a time inside a task; only the best rows per
-query and task leave it, so the pairs are never rows of a table.
+Documents stay where they are.  Queries come in batches of bounded size, each
+sent to every task once; a task fills a small matrix of scores at a time and
+only its best rows per query leave it, so the pairs are never rows of a table.
 """
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,14 +15,17 @@ from pyspark.sql import functions as F
 
 from rankbench.operators.ranking import PLACES, TOPK, top_k
 
-# (queries, documents) -> matrix of scores, one row per query
-BlockScorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+# documents -> matrix of scores, one row per query of the block it was made for
+DocScorer = Callable[[pd.DataFrame], np.ndarray]
+# queries of a block -> scorer; called once for each block and task
+BlockScorer = Callable[[pd.DataFrame], DocScorer]
+# called once per task, so it is the place to load a model
+ScorerFactory = Callable[[], BlockScorer]
 
-BROADCAST_QUERIES = 4096
-BROADCAST_BYTES = 64 * 1024 * 1024
+BATCH_QUERIES = 4096
+BATCH_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK = 256
 DOC_BLOCK = 1024
-CELL_DOCS = 50_000
 
 RESULT = "qid string, docno string, score double"
 
@@ -28,26 +33,24 @@ RESULT = "qid string, docno string, score double"
 def exhaustive_top_k(
     queries: DataFrame,
     docs: DataFrame,
-    score: BlockScorer,
+    scorer: ScorerFactory,
     k: int = TOPK,
-    max_queries: int = BROADCAST_QUERIES,
-    max_bytes: int = BROADCAST_BYTES,
+    batch_queries: int = BATCH_QUERIES,
+    batch_bytes: int = BATCH_BYTES,
     rank_base: int = 1,
 ) -> DataFrame:
     """qid, docno, score, rank.
 
-    Queries within both bounds are shipped to every task and the documents stay
-    where they are.  More queries are laid out with the documents on a grid of
-    cells, each small enough for one task.  Runs a count of the queries (and,
-    for the grid, of the documents).
+    A score that is not a number ranks below all others and comes back as null.
+    Runs a count of the queries, and collects each batch of them, bounded by
+    ``batch_queries`` and ``batch_bytes`` on average, to send it on.
     """
     sized = queries.select(_row_bytes(queries).alias("bytes"))
     n_queries, n_bytes = sized.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-    if n_queries <= max_queries and (n_bytes or 0) <= max_bytes:
-        partial = _with_broadcast(queries, docs, score, k)
-    else:
-        partial = _on_grid(queries, docs, score, k, n_queries, n_bytes, max_queries, max_bytes)
-    return top_k(partial, k, rank_base=rank_base)
+    n = max(1, -(-n_queries // batch_queries), -(-int(n_bytes or 0) // batch_bytes))
+    batch = F.pmod(F.xxhash64("qid"), F.lit(n))
+    partial = [_one_batch(queries.where(batch == i), docs, scorer, k) for i in range(n)]
+    return top_k(reduce(DataFrame.unionByName, partial), k, rank_base=rank_base)
 
 
 def _row_bytes(df: DataFrame):
@@ -68,66 +71,76 @@ def _row_bytes(df: DataFrame):
     return total
 
 
-def _with_broadcast(queries, docs, score, k):
-    shipped = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+def _one_batch(queries: DataFrame, docs: DataFrame, scorer: ScorerFactory, k: int) -> DataFrame:
+    sent = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
 
     def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _best_per_query(shipped.value, frames, score, k)
+        yield best_per_query(sent.value, frames, scorer, k)
 
     return docs.mapInPandas(per_task, RESULT)
 
 
-def _on_grid(queries, docs, score, k, n_queries, n_bytes, max_queries, max_bytes):
-    columns = max(-(-n_queries // max_queries), -(-int(n_bytes) // max_bytes), 1)
-    rows = max(-(-docs.count() // CELL_DOCS), 1)
-    laid_queries = queries.withColumn("_col", F.pmod(F.xxhash64("qid"), F.lit(columns))).withColumn(
-        "_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
-    )
-    laid_docs = docs.withColumn("_row", F.pmod(F.xxhash64("docno"), F.lit(rows))).withColumn(
-        "_col", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
+def best_per_query(
+    queries: pd.DataFrame, frames: Iterator[pd.DataFrame], scorer: ScorerFactory, k: int
+) -> pd.DataFrame:
+    """Best ``k`` per query over a stream of document frames: one frame of results."""
+    queries = queries.reset_index(drop=True)
+    kept = _Best(k, len(queries))
+    scorers = None
+    for frame in frames:
+        if not len(queries):
+            continue
+        if scorers is None:
+            make = scorer()
+            scorers = [
+                (first, make(queries.iloc[first : first + QUERY_BLOCK]))
+                for first in range(0, len(queries), QUERY_BLOCK)
+            ]
+        for start in range(0, len(frame), DOC_BLOCK):
+            docs = frame.iloc[start : start + DOC_BLOCK]
+            docnos = docs["docno"].to_numpy(dtype=object)
+            for first, score in scorers:
+                kept.add(first, np.asarray(score(docs), float), docnos)
+    found = kept.result()
+    return pd.DataFrame(
+        {
+            "qid": pd.Series(queries["qid"].to_numpy(dtype=object)[found["query"]], dtype=object),
+            "docno": pd.Series(found["docno"].to_numpy(dtype=object), dtype=object),
+            "score": found["score"].where(found["score"] > -np.inf).to_numpy(),
+        }
     )
-    names = ["qid", "docno", "score"]
 
-    def per_cell(cell_queries: pd.DataFrame, cell_docs: pd.DataFrame) -> pd.DataFrame:
-        best = list(_best_per_query(cell_queries, iter([cell_docs]), score, k))
-        return pd.concat(best) if best else pd.DataFrame(columns=names)
 
-    return (
-        laid_queries.groupBy("_row", "_col")
-        .cogroup(laid_docs.groupBy("_row", "_col"))
-        .applyInPandas(per_cell, RESULT)
-    )
+class _Best:
+    """Candidates of all queries; those that can't be among the best go now and then."""
 
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.room = k, 8 * k * max(1, n_queries)
+        self.parts: list[pd.DataFrame] = []
+        self.held = 0
 
-def _best_per_query(queries, frames, score, k) -> Iterator[pd.DataFrame]:
-    """Best ``k`` per query over a stream of document frames."""
-    queries = queries.reset_index(drop=True)
-    best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(queries)
-    for frame in frames:
-        # in docno order a stable sort by score breaks ties the right way
-        ordered = frame.sort_values("docno", kind="stable")
-        for start in range(0, len(ordered), DOC_BLOCK):
-            docs = ordered.iloc[start : start + DOC_BLOCK]
-            docnos = docs["docno"].to_numpy(dtype=object)
-            for first in range(0, len(queries), QUERY_BLOCK):
-                block = queries.iloc[first : first + QUERY_BLOCK]
-                matrix = np.floor(score(block, docs) * 10**PLACES + 0.5) / 10**PLACES
-                for i, row in enumerate(matrix, first):
-                    best[i] = _merged(best[i], row, docnos, k)
-    for qid, kept in zip(queries["qid"], best):
-        if kept is not None:
-            yield pd.DataFrame({"qid": qid, "docno": kept[1], "score": kept[0]})
-
-
-def _merged(kept, scores, docnos, k):
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        chosen = np.flatnonzero(scores >= bar)
-        # chosen is in docno order, so the cut keeps the lower docnos of a tie
-        chosen = chosen[np.argsort(-scores[chosen], kind="stable")[:k]]
-        scores, docnos = scores[chosen], docnos[chosen]
-    if kept is not None:
-        scores = np.concatenate([kept[0], scores])
-        docnos = np.concatenate([kept[1], docnos])
-    order = np.lexsort((docnos.astype(str), -scores))[:k]
-    return scores[order], docnos[order]
+    def add(self, first: int, matrix: np.ndarray, docnos: np.ndarray) -> None:
+        matrix = np.floor(matrix * 10**PLACES + 0.5) / 10**PLACES
+        matrix = np.where(np.isnan(matrix), -np.inf, matrix)
+        n = matrix.shape[1]
+        if n > self.k:  # ties with the k-th stay until docnos decide
+            bar = np.partition(matrix, n - self.k, axis=1)[:, n - self.k, None]
+            row, col = np.nonzero(matrix >= bar)
+        else:
+            row, col = np.nonzero(np.ones(matrix.shape, bool))
+        self.parts.append(
+            pd.DataFrame({"query": row + first, "docno": docnos[col], "score": matrix[row, col]})
+        )
+        self.held += len(row)
+        if self.held > self.room:
+            self.parts = [self.result()]
+            self.held = len(self.parts[0])
+
+    def result(self) -> pd.DataFrame:
+        if not self.parts:
+            return pd.DataFrame(
+                {"query": np.empty(0, int), "docno": np.empty(0, object), "score": np.empty(0)}
+            )
+        every = pd.concat(self.parts, ignore_index=True)
+        every = every.sort_values(["query", "score", "docno"], ascending=[True, False, True])
+        return every.groupby("query", sort=False).head(self.k)

@@ -96,34 +96,51 @@ def batch_scorer(
     )
 
 
-def _overlap_block(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
-    """Fixed-weight scores of a block from its distinct words and word counts."""
-    vocabulary = {w: i for i, w in enumerate({w for words in queries["words"] for w in words})}
-    in_query = np.zeros((len(queries), len(vocabulary)))
-    for i, words in enumerate(queries["words"]):
-        in_query[i, [vocabulary[w] for w in words]] = 1
-    in_doc = np.zeros((len(docs), len(vocabulary)))
-    for i, words in enumerate(docs["words"]):
-        in_doc[i, [vocabulary[w] for w in words if w in vocabulary]] = 1
-    shared = in_query @ in_doc.T
-    q_size = queries["words"].map(len).to_numpy(dtype="float64")[:, None]
-    d_size = docs["words"].map(len).to_numpy(dtype="float64")[None, :]
-    q_len = queries["n_words"].to_numpy(dtype="float64")[:, None]
-    d_len = docs["n_words"].to_numpy(dtype="float64")[None, :]
+def overlap_scorer():
+    """Block scorer with the fixed weights, from distinct words and word counts.
+
+    A block's query words are numbered once; a document is then the list of
+    those it has.
+    """
 
     def ratio(part, whole):
         part, whole = np.broadcast_arrays(part, whole)
         return np.divide(part, whole, out=np.zeros(part.shape), where=whole > 0)
 
-    values = {
-        "jaccard": ratio(shared, q_size + d_size - shared),
-        "coverage": ratio(shared, q_size),
-        "length_ratio": ratio(np.minimum(q_len, d_len), np.maximum(q_len, d_len)),
-    }
-    total = np.full(shared.shape, BIAS)
-    for name, weight in WEIGHTS.items():
-        total = total + weight * values[name]
-    return 1 / (1 + np.exp(-total))
+    def column(values: pd.Series) -> np.ndarray:
+        return values.to_numpy(dtype="float64")
+
+    def for_queries(queries: pd.DataFrame):
+        numbers = {w: i for i, w in enumerate({w for words in queries["words"] for w in words})}
+        # one row more, for no word at all
+        has_word = np.zeros((len(numbers) + 1, len(queries)))
+        for i, words in enumerate(queries["words"]):
+            has_word[[numbers[w] for w in words], i] = 1
+        q_size = column(queries["words"].map(len))[:, None]
+        q_len = column(queries["n_words"])[:, None]
+
+        def score(docs: pd.DataFrame) -> np.ndarray:
+            found = [
+                [numbers[w] for w in words if w in numbers] + [len(numbers)]
+                for words in docs["words"]
+            ]
+            starts = np.cumsum([0] + [len(f) for f in found[:-1]])
+            shared = np.add.reduceat(has_word[np.concatenate(found)], starts, axis=0).T
+            d_size = column(docs["words"].map(len))[None, :]
+            d_len = column(docs["n_words"])[None, :]
+            values = {
+                "jaccard": ratio(shared, q_size + d_size - shared),
+                "coverage": ratio(shared, q_size),
+                "length_ratio": ratio(np.minimum(q_len, d_len), np.maximum(q_len, d_len)),
+            }
+            total = np.full(shared.shape, BIAS)
+            for name, weight in WEIGHTS.items():
+                total = total + weight * values[name]
+            return 1 / (1 + np.exp(-total))
+
+        return score
+
+    return for_queries
 
 
 def retrieve_pairs(topics: DataFrame, corpus: DataFrame, k: int = TOPK, **options) -> DataFrame:
@@ -140,7 +157,7 @@ def retrieve_pairs(topics: DataFrame, corpus: DataFrame, k: int = TOPK, **option
 
     return exhaustive_top_k(
         prepared(topics, "qid", "query"), prepared(corpus, "docno", "text"),
-        _overlap_block, k, **options,
+        overlap_scorer, k, **options,
     )
 
 
@@ -152,20 +169,30 @@ def retrieve_pairs_with(
     batch: int = BATCH,
     **options,
 ) -> DataFrame:
-    """Top ``k`` per query by a user's pair model over every document."""
+    """Top ``k`` per query by a user's pair model over every document.
 
-    def block(queries: pd.DataFrame, docs: pd.DataFrame) -> np.ndarray:
+    ``load_model`` runs once per task.
+    """
+
+    def scorer():
         model = load_model()
-        out = np.empty((len(queries), len(docs)))
-        for i, query in enumerate(queries["query"]):
-            for start in range(0, len(docs), batch):
-                texts = docs["text"].iloc[start : start + batch].reset_index(drop=True)
-                asked = pd.Series([query] * len(texts))
-                out[i, start : start + len(texts)] = model(asked, texts)
-        return out
+
+        def for_queries(queries: pd.DataFrame):
+            def score(docs: pd.DataFrame) -> np.ndarray:
+                out = np.empty((len(queries), len(docs)))
+                for i, query in enumerate(queries["query"]):
+                    for start in range(0, len(docs), batch):
+                        texts = docs["text"].iloc[start : start + batch].reset_index(drop=True)
+                        asked = pd.Series([query] * len(texts))
+                        out[i, start : start + len(texts)] = model(asked, texts)
+                return out
+
+            return score
+
+        return for_queries
 
     return exhaustive_top_k(
-        topics.select("qid", "query"), corpus.select("docno", "text"), block, k, **options
+        topics.select("qid", "query"), corpus.select("docno", "text"), scorer, k, **options
     )
 
 

@@ -41,7 +41,7 @@ def ranked(run):
     return out
 
 
-def test_broadcast_queries_against_brute_force(toy):
+def test_exhaustive_against_brute_force(toy):
     (queries, docs), expected = toy
     got = ranked(dense.retrieve_dense(queries, docs))
     assert {q: [d for d, _ in v] for q, v in got.items()} == {
@@ -49,28 +49,62 @@ def test_broadcast_queries_against_brute_force(toy):
     }
 
 
-def test_grid_of_cells_gives_the_same(toy, monkeypatch):
-    from rankbench.operators import exhaustive
-
-    monkeypatch.setattr(exhaustive, "CELL_DOCS", 50)
+def test_many_batches_give_the_same(toy):
     (queries, docs), _ = toy
     whole = dense.retrieve_dense(queries, docs)
-    grid = dense.retrieve_dense(queries, docs, max_queries=5)
-    assert ranked(whole) == ranked(grid)
+    assert ranked(whole) == ranked(dense.retrieve_dense(queries, docs, batch_queries=5))
+    assert ranked(whole) == ranked(dense.retrieve_dense(queries, docs, batch_bytes=400))
 
 
-def test_small_blocks_give_the_same(toy, monkeypatch):
+def test_small_blocks_give_one_frame_with_the_same(toy, monkeypatch):
     from rankbench.operators import exhaustive
 
     (queries, docs), expected = toy
     monkeypatch.setattr(exhaustive, "DOC_BLOCK", 16)
-    best = list(
-        exhaustive._best_per_query(
-            queries.toPandas(), iter([docs.toPandas()]), dense._cosine_block, 10
-        )
+    monkeypatch.setattr(exhaustive, "QUERY_BLOCK", 3)
+    frame = docs.toPandas()
+    best = exhaustive.best_per_query(
+        queries.toPandas(), iter([frame[:70], frame[70:]]), dense.cosine_scorer, 10
     )
-    for frame in best:
-        assert frame["docno"].tolist() == [d for d, _ in expected[frame["qid"].iloc[0]]]
+    for qid, rows in best.groupby("qid"):
+        assert rows["docno"].tolist() == [d for d, _ in expected[qid]]
+
+
+@pytest.mark.parametrize("bad", [3, 12, 38, 40])
+def test_scores_that_are_no_numbers_come_last(spark, bad):
+    docs = spark.createDataFrame([(f"d{i:02}", float(i)) for i in range(40)], "docno string, x double")
+    queries = spark.createDataFrame([("q",)], "qid string")
+
+    def scorer():
+        def score(part):
+            x = part["x"].to_numpy()
+            return np.where(x < bad, np.nan, x)[None, :]
+
+        return lambda queries: score
+
+    got = exhaustive_top_k(queries, docs, scorer).orderBy("rank").collect()
+    good = [(f"d{i:02}", float(i)) for i in range(39, bad - 1, -1)]
+    assert [(r["docno"], r["score"]) for r in got] == (
+        good + [(f"d{i:02}", None) for i in range(bad)]
+    )[:10]
+
+
+def test_model_loads_once_per_task(spark, tmp_path):
+    loads = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(loads, uuid.uuid4().hex), "w").close()
+        return lambda query, text: text.str.len().to_numpy(float)
+
+    topics = spark.createDataFrame([(f"q{i}", "a") for i in range(300)], "qid string, query string")
+    corpus = spark.createDataFrame([(f"d{i}", "a" * i) for i in range(200)], "docno string, text string")
+    pairs.retrieve_pairs_with(topics, corpus.repartition(3), load, k=1).count()
+    import os
+
+    assert len(os.listdir(loads)) == 3
 
 
 def test_missing_vectors_score_null_and_come_last(spark):
@@ -133,6 +167,6 @@ def test_pair_model_separates(spark):
 def test_block_scorer_contract(spark):
     docs = spark.createDataFrame([("d", "x")], "docno string, text string")
     none = spark.createDataFrame([], "qid string, query string")
-    run = exhaustive_top_k(none, docs, lambda q, d: np.zeros((len(q), len(d))))
+    run = exhaustive_top_k(none, docs, lambda: lambda q: lambda d: np.zeros((len(q), len(d))))
     assert run.count() == 0
     assert isinstance(none.toPandas(), pd.DataFrame)
