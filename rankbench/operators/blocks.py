@@ -20,8 +20,8 @@ MASK_SHARE = 0.25
 KEPT_LABEL = -100
 
 
-def word_ids(corpus: DataFrame) -> DataFrame:
-    """term, cf and id of every word; ids follow (cf desc, term).
+def word_ids(corpus: DataFrame, size: int | None = None) -> DataFrame:
+    """term, cf and id of every word, or of the ``size`` most frequent; ids follow (cf desc, term).
 
     The vocabulary is numbered by a range sort, so it may have any size.  Runs
     a job.
@@ -34,7 +34,8 @@ def word_ids(corpus: DataFrame) -> DataFrame:
         .select("term", "cf", (-F.col("cf")).alias("_rarer"), F.lit(1).alias("_one"))
     )
     numbered = ordered_sums(counted, ["_rarer", "term"], {"_place": "_one"})
-    return numbered.select(
+    kept = numbered if size is None else numbered.where(F.col("_place") <= size)
+    return kept.select(
         "term", "cf", (F.col("_place") + (FIRST_ID - 1)).cast("int").alias("id")
     )
 

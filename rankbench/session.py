@@ -23,13 +23,17 @@ def local_session(cores: str = "8", app: str = "rankbench") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a new temporary folder
-    is made and announced to the session.
+    Only where the setting is absent and the session is local (tests, a laptop)
+    a new temporary folder is made and announced to the session; on a cluster,
+    whose machines do not share such folders, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="rankbench-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -8,6 +8,12 @@ from pyspark.sql.types import StructType
 
 from rankbench.schemas import QRELS
 
+# Stands for an unquoted blank field while a file is parsed, so that a quoted
+# empty string is told from it; it is never written.
+_BLANK = "\u0001blank"
+# The score of a run row that has none: below all others.
+_NO_SCORE = "-inf"
+
 
 def read_csv(
     spark: SparkSession,
@@ -19,6 +25,7 @@ def read_csv(
 ) -> DataFrame:
     """Declared-schema CSV scan; quoted newlines and doubled quotes are kept.
 
+    A blank field is null, a quoted empty one the empty string.
     A file with quoted newlines can't be split, so large tables should be many
     files, which is how :func:`write_csv` leaves them.
     """
@@ -30,6 +37,7 @@ def read_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        .option("nullValue", _BLANK)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -43,7 +51,11 @@ def write_csv(
     sep: str = ",",
     header: bool = True,
 ) -> None:
-    """Chosen columns as a folder of CSV files, replacing what is there."""
+    """Chosen columns as a folder of CSV files, replacing what is there.
+
+    Null is left blank and the empty string quoted.  A row of nothing but nulls
+    in a single column would be a blank line, which readers skip.
+    """
     (
         df.select(*(columns or df.columns))
         .write.mode("overwrite")
@@ -51,6 +63,8 @@ def write_csv(
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", "")
+        .option("emptyValue", '""')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -100,10 +114,13 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, folder: str, tag: str | None = None) -> None:
-    """One folder of run lines per system: ``qid Q0 docno rank score tag``."""
+    """One folder of run lines per system: ``qid Q0 docno rank score tag``.
+
+    A null score is written as the lowest one and read back as null.
+    """
     line = F.concat_ws(
         " ", "qid", F.lit("Q0"), "docno", F.col("rank").cast("string"),
-        F.col("score").cast("string"), F.lit(tag) if tag else F.col("system"),
+        F.coalesce(F.col("score").cast("string"), F.lit(_NO_SCORE)), F.lit(tag) if tag else F.col("system"),
     )
     runs.select("system", line.alias("value")).write.mode("overwrite").partitionBy(
         "system"
@@ -130,7 +147,7 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
             part[0].alias("qid"),
             part[2].alias("docno"),
             part[3].cast("int").alias("rank"),
-            part[4].cast("double").alias("score"),
+            F.when(part[4] != _NO_SCORE, part[4].cast("double")).alias("score"),
         )
     )
 

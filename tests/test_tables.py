@@ -200,3 +200,36 @@ def test_losses(spark):
     scored = spark.createDataFrame([(0.0, 1), (2.0, 0)], "score double, label int")
     expected = (np.log(2) + np.log1p(np.exp(2.0))) / 2
     assert losses.binary_cross_entropy(scored).first()["loss"] == pytest.approx(expected, abs=1e-6)
+
+
+def test_csv_tells_empty_from_null(spark):
+    rows = [("a", "", None), ("b", None, ""), ("c", " x ", "\\N"), ("d", '"', ",")]
+    df = spark.createDataFrame(rows, "docno string, title string, text string")
+    path = fresh_path(spark, "csv-empty")
+    files.write_csv(df, path)
+    back = files.read_csv(spark, path, schemas.CORPUS)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_runs_with_missing_scores_come_back(spark):
+    rows = [("s", "q", "d1", 1, 0.5), ("s", "q", "d2", 2, None), ("s", "q", "d3", 3, -1.5)]
+    runs = spark.createDataFrame(rows, schemas.RUN)
+    path = fresh_path(spark, "runs-null")
+    files.write_runs(runs, path)
+    assert sorted(map(tuple, files.read_runs(spark, path).collect())) == rows
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from rankbench.session import shared_folder
+
+    def session(master):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda *_: None),
+            sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None),
+        )
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
