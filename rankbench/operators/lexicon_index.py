@@ -207,15 +207,19 @@ def _save_bucketed(df: DataFrame, path: str, buckets: int, sort: str) -> None:
 
 
 def _open_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A written table with its layout.  The catalog entry goes as soon as it is read."""
     name = f"rankbench_{uuid.uuid4().hex}"
     columns = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema
     )
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet "
-        f"CLUSTERED BY (docno) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY (docno) INTO {buckets} BUCKETS LOCATION :path",
+        args={"path": path},
     )
-    return spark.table(name)
+    opened = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay, and the plan knows them
+    return opened
 
 
 def sample_terms(lexicon: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact percentiles with linear interpolation over weighted values."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
+from rankbench.operators.numbering import ordered_sums
 
 
 def exact_percentile(
@@ -11,43 +11,27 @@ def exact_percentile(
 ) -> DataFrame:
     """One row per group: the exact ``p`` percentile of ``value`` as ``name``.
 
-    Equal values are merged first.  A histogram of fixed-width bins finds the
-    bins that hold the two neighbouring order statistics, and only the values
-    in those bins are sorted, so no task holds a whole group.  ``by`` must name
-    columns with few values.
+    Equal values are merged first.  A range sort of the distinct values with
+    running counts gives each its places, however the values are spread, so no
+    task holds a whole group.  ``by`` must name columns with few values.  Runs
+    a job.
     """
     merged = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    spans = merged.groupBy(*by).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n")
+    placed = ordered_sums(merged, [*by, "_v"], {"_upto": "_w"})
+    groups = placed.groupBy(*by).agg(
+        F.min(F.col("_upto") - F.col("_w")).alias("_base"), F.sum("_w").alias("_n")
     )
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    binned = merged.join(F.broadcast(spans), by).withColumn(
-        "_bin",
-        F.coalesce(
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(BINS - 1)),
-            F.lit(0),
-        ),
-    )
-    # zero-based places of the neighbours and the weight between them
-    place = F.lit(p) * (F.col("_n") - 1)
-    bins = binned.groupBy(*by, "_bin", "_n").agg(F.sum("_w").alias("_in_bin"))
-    upto = Window.partitionBy(*by).orderBy("_bin")
-    bins = bins.withColumn("_upto", F.sum("_in_bin").over(upto)).withColumn(
-        "_before", F.col("_upto") - F.col("_in_bin")
-    )
-    wanted = bins.where(
-        (F.col("_before") <= F.ceil(place)) & (F.col("_upto") > F.floor(place))
-    ).select(*by, "_bin", "_before")
-    inside = Window.partitionBy(*by, "_bin").orderBy("_v")
     found = (
-        binned.join(F.broadcast(wanted), [*by, "_bin"])
-        .withColumn("_end", F.sum("_w").over(inside) + F.col("_before"))
+        placed.join(F.broadcast(groups), by)
+        .withColumn("_end", F.col("_upto") - F.col("_base"))
         .withColumn("_start", F.col("_end") - F.col("_w"))
     )
+    # zero-based places of the neighbours and the weight between them
+    place = F.lit(p) * (F.col("_n") - 1)
 
     def at(position):
         hit = (F.col("_start") <= position) & (F.col("_end") > position)

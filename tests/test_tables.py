@@ -233,3 +233,13 @@ def test_a_cluster_without_shared_folder_is_an_error():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             shared_folder(session(master))
+
+
+def test_percentile_with_an_outlier(spark):
+    """One huge value must not gather the others in one place; groups keep apart."""
+    values = {"a": [*range(5000), 10**12], "b": [3.0, 1.0, 1.0]}
+    rows = spark.createDataFrame(
+        [(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double"
+    )
+    got = {r["g"]: r["x"] for r in quantiles.exact_percentile(rows, ["g"], "v", 0.95, "x").collect()}
+    assert got == {g: pytest.approx(np.percentile(vs, 95)) for g, vs in values.items()}
