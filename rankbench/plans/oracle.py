@@ -428,6 +428,11 @@ kept as (select query, positive, negative from triples where triple_id % 5 <> 0)
             select 'corpus' as kind, docno as id, {spaced(terms("(title || ' ' || text)", 2))} as text
             from docs
             union all select 'query', qid, {spaced(terms('query', 2))} from topics"""),
+        "step_pretokenize": with_(CHAT, CHAT_QRELS, select=f"""
+            select 'corpus' as kind, docno as id, {spaced(terms("(title || ' ' || text)", 2))} as text
+            from docs
+            union all select 'query', qid, {spaced(terms('query', 2))} from topics
+            union all select 'qrels', qid, iter || ' ' || docno || ' ' || label from qrels"""),
         "prep_join_title": with_(BENCH, select=f"""
             select docno, title || ' ' || text as with_space, title || text as plain,
                    {spaced(f"list_concat({toks('title')}, {terms('text', 2)})")} as tokens

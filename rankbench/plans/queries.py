@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from rankbench import schemas
 from rankbench.functions import text as tx
@@ -26,7 +26,7 @@ from rankbench.operators import (
     shift,
 )
 from rankbench.operators.ranking import TOPK, as_run, rounded, top_k
-from rankbench.plans import chains, views
+from rankbench.plans import chains, steps, views
 from rankbench.plans.collections import Collection, collection
 from rankbench.session import checkpointed, fresh_path
 from rankbench.sources import files
@@ -174,6 +174,24 @@ def prep_pretokenize(spark, sf_dir):
     )
 
 
+@query
+def step_pretokenize(spark, sf_dir):
+    """Files in, files out: terms of corpus and topics, and the judgments beside them."""
+    c = chat(spark, sf_dir)
+    source, target = fresh_path(spark, "baseline"), fresh_path(spark, "pretokenised")
+    steps.write_baseline(c.corpus, c.topics, c.qrels, source)
+    steps.pretokenise_folder(spark, source, target)
+    texts = files.read_csv(spark, f"{target}/{steps.CORPUS}", StructType([schemas.CORPUS["docno"], schemas.CORPUS["text"]]))
+    topics = files.read_csv(spark, f"{target}/{steps.TOPICS}", schemas.TOPICS)
+    qrels = files.read_qrels(spark, f"{target}/{steps.QRELS}")
+    judged = F.concat_ws(" ", "iter", "docno", F.col("label").cast("string"))
+    return (
+        texts.select(F.lit("corpus").alias("kind"), F.col("docno").alias("id"), "text")
+        .unionByName(topics.select(F.lit("query").alias("kind"), F.col("qid").alias("id"), F.col("query").alias("text")))
+        .unionByName(qrels.select(F.lit("qrels").alias("kind"), F.col("qid").alias("id"), judged.alias("text")))
+    )
+
+
 @query
 def prep_join_title(spark, sf_dir):
     title, text = F.col("title"), F.col("text")
