@@ -8,11 +8,14 @@ priority queue holds the branches not taken, by the squared margins on the way,
 and leaves are opened in that order until they hold enough vectors.  The
 opened leaves' vectors are ranked exactly.
 
-Leaves are laid out in cells of bounded size: an overfull leaf is spread over
-several, small ones share one.  Queries come in blocks, and each (cell, query
-block) is one task's work, from which only the best few of each query leave.
-Equal vectors are one candidate that carries its smallest ids, and one query
-whatever their number, so copies fill no leaf and cost no search.
+Each vector lies in one place, with the numbers of its leaves in all trees: in
+cells of bounded size made of the first tree's leaves, an overfull leaf spread
+over several, small ones sharing one.  A query is known by its opened leaves,
+one bit each; queries come in blocks, and each (cell, query block) is one task's
+work, in which a vector is ranked once if any of its leaves is open, and from
+which only the best few of each query leave.  Equal vectors are one candidate
+that carries its smallest ids, and one query whatever their number, so copies
+fill no leaf and cost no search.
 
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component take no part, nor do vectors of another length than most
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankbench.llm.sampling import first_by_hash
 from rankbench.llm.vector_dedup import usable
 from rankbench.session import checkpointed
 
@@ -154,7 +158,7 @@ def fit(vectors: DataFrame, trees: int, leaf: int, sample: int, tries: int, seed
     the sample, come to the driver.
     """
     longest = vectors.select(F.max(_squared(F.col("vector")))).first()[0] or 0.0
-    picked = vectors.orderBy(F.xxhash64(F.lit(seed), "rep")).limit(sample)
+    picked = first_by_hash(vectors, sample, seed, "rep")
 
     def grown(key, frame):
         points = np.stack(frame["vector"].to_numpy()).astype(np.float64)
@@ -185,28 +189,20 @@ def _squared(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
-def _cells(sizes: list[np.ndarray], most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """First cell of each leaf and the number of cells it is spread over, by tree."""
-    first, spread, cell = [], [], 0
-    for counts in sizes:
-        starts, parts, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0
-        for leaf, n in enumerate(counts.tolist()):
-            if n > most:
-                cell += 1
-                parts[leaf] = -(-n // most)
-                starts[leaf] = cell
-                cell += int(parts[leaf])
-                filled = 0
-                continue
-            if filled + n > most:
-                cell += 1
-                filled = 0
-            starts[leaf] = cell
+def _cells(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First cell of each leaf, the number of cells it is spread over, and all cells."""
+    starts, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    cell = filled = 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if filled and filled + n > most:
+            cell, filled = cell + 1, 0
+        starts[leaf] = cell
+        parts[leaf] = max(1, -(-n // most))
+        if parts[leaf] > 1:
+            cell, filled = cell + int(parts[leaf]), 0
+        else:
             filled += n
-        cell += 1
-        first.append(starts)
-        spread.append(parts)
-    return first, spread
+    return starts, parts, cell + 1
 
 
 def _best(scores: np.ndarray, reps: np.ndarray, most: int) -> np.ndarray:
@@ -221,23 +217,20 @@ def _best(scores: np.ndarray, reps: np.ndarray, most: int) -> np.ndarray:
 
 def _rank_cell(most: int):
     def run(members, probes):
-        """Best ``most`` members of the opened leaves for each query."""
+        """Best ``most`` members in opened leaves for each query."""
         out_q, out_r, out_s = [], [], []
         if len(members) and len(probes):
-            members = members.sort_values("leaf", kind="stable")
-            leaf = members["leaf"].to_numpy()
             reps = members["rep"].to_numpy()
             points = np.stack(members["vector"].to_numpy()).astype(np.float64)
+            leaves = np.stack(members["leaves"].to_numpy())
             queries = np.stack(probes["vector"].to_numpy()).astype(np.float64)
             names = probes["query"].to_numpy()
-            opened = [np.asarray(x) for x in probes["leaves"]]
-            chosen = np.zeros(max(leaf.max(), max(x.max() for x in opened)) + 1, bool)
+            opened = probes["opened"].to_numpy()
             for begin in range(0, len(names), 256):
                 scores = queries[begin : begin + 256] @ points.T
                 for k, row in enumerate(scores, start=begin):
-                    chosen[opened[k]] = True
-                    inside = np.flatnonzero(chosen[leaf])
-                    chosen[opened[k]] = False
+                    bits = np.unpackbits(np.frombuffer(opened[k], np.uint8)).view(bool)
+                    inside = np.flatnonzero(bits[leaves].any(axis=1))
                     best = inside[_best(row[inside], reps[inside], most)]
                     out_q.append(np.full(len(best), names[k]))
                     out_r.append(reps[best])
@@ -283,75 +276,78 @@ def search(
     forest = fit(vectors, trees, leaf, sample, tries, seed)
     shared = spark.sparkContext.broadcast(forest)
 
+    offsets = np.cumsum([0] + [t.leaves for t in forest.trees])
+
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers of a vector's leaves, those of all trees counted on."""
         own = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = own.lifted(_matrix(batch.column("vector")))
-            for k, tree in enumerate(own.trees):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(points), k, np.int32)), pa.array(tree.leaf_of(points)), batch.column("rep"), batch.column("vector")],
-                    ["tree", "leaf", "rep", "vector"],
-                )
+            numbers = np.stack([t.leaf_of(points) for t in own.trees], 1) + offsets[:-1]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(points) + 1) * len(own.trees), pa.int32()),
+                pa.array(numbers.ravel(), pa.int32()),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), batch.column("vector"), lists], ["rep", "vector", "leaves"]
+            )
 
     element = reps.schema["embedding"].dataType.elementType.simpleString()
     placed = checkpointed(
         vectors.select("rep", "vector").mapInArrow(
-            leaves, f"tree int, leaf long, rep long, vector array<{element}>"
+            leaves, f"rep long, vector array<{element}>, leaves array<int>"
         )
     )
-    sizes = [np.zeros(t.leaves, np.int64) for t in forest.trees]
-    for r in placed.groupBy("tree", "leaf").count().collect():
-        sizes[r["tree"]][r["leaf"]] = r["count"]
+    held = np.zeros(offsets[-1], np.int64)
+    for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
+        held[r["leaf"]] = r["count"]
+    sizes = [held[i:j] for i, j in zip(offsets, offsets[1:])]
     total = int(sizes[0].sum())
-    first, spread = _cells(sizes, cell_rows)
-    layout = spark.sparkContext.broadcast((sizes, first, spread))
+    starts, parts, cells = _cells(sizes[0], cell_rows)
+    layout = spark.sparkContext.broadcast((sizes, starts, parts))
     asked = vectors.where("asks").select("rep", "vector")
     blocks = max(1, -(-asked.count() // query_block))
 
     @F.arrow_udf("long")
-    def cell_of(tree: pa.Array, leaf: pa.Array, rep: pa.Array) -> pa.Array:
-        _, starts, parts = layout.value
-        out = np.zeros(len(tree), np.int64)
-        t, n, r = (c.to_numpy() for c in (tree, leaf, rep))
-        for k in np.unique(t):
-            at = np.flatnonzero(t == k)
-            out[at] = starts[k][n[at]] + r[at] % parts[k][n[at]]
-        return pa.array(out)
+    def cell_of(leaf: pa.Array, rep: pa.Array) -> pa.Array:
+        _, first, spread = layout.value
+        n, r = leaf.to_numpy(), rep.to_numpy()
+        return pa.array(first[n] + r % spread[n])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each query and cell the leaves to open there; leaves of all trees are told apart."""
+        """Each query with one bit for each leaf: whether it is opened."""
         own = shared.value
-        held, starts, parts = layout.value
+        counts = layout.value[0]
         for batch in batches:
             plain = _matrix(batch.column("vector"))
             if not len(plain):
                 continue
             points = np.concatenate([plain, np.zeros((len(plain), 1))], 1)
-            row, cell, opened_leaves = [], [], []
-            for q, point in enumerate(points):
-                by_cell: dict[int, list[int]] = {}
-                for k, n in own.opened(point, held, opened * total):
-                    for c in range(starts[k][n], starts[k][n] + parts[k][n]):
-                        by_cell.setdefault(int(c), []).append(n)
-                row += [q] * len(by_cell)
-                cell += by_cell
-                opened_leaves += by_cell.values()
-            at = pa.array(row, pa.int64())
+            masks = []
+            for point in points:
+                bits = np.zeros(offsets[-1], bool)
+                for k, n in own.opened(point, counts, opened * total):
+                    bits[offsets[k] + n] = True
+                masks.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int64()), batch.column("rep").take(at), pa.array(opened_leaves, pa.list_(pa.int64())), batch.column("vector").take(at)],
-                ["cell", "query", "leaves", "vector"],
+                [batch.column("rep"), batch.column("vector"), pa.array(masks, pa.binary())],
+                ["query", "vector", "opened"],
             )
 
-    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
+    # the stated query set meets all rows, block by block
     wanted = asked.mapInArrow(
-        probes, f"cell long, query long, leaves array<long>, vector array<{element}>"
-    ).select("cell", block, "query", "leaves", "vector")
+        probes, f"query long, vector array<{element}>, opened binary"
+    ).select(
+        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
+        F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"),
+        "query", "vector", "opened",
+    )
     members = placed.select(
-        cell_of("tree", "leaf", "rep").alias("cell"),
+        cell_of(F.get("leaves", F.lit(0)), F.col("rep")).cast("int").alias("cell"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        "leaf", "rep", "vector",
+        "leaves", "rep", "vector",
     )
     # one more than asked for: the query itself may be among them
     found = (
