@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankbench.functions.binding import bound
+from rankbench.llm.sampling import first_by_hash
+from rankbench.session import checkpointed
 
 # The base patterns, their least lengths, and the kinds' order.
 ASSIGN = (
@@ -49,6 +51,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 THRESHOLD = 0.0
 # Labelled samples of each label that the models are fitted on, at most.
 SAMPLES = 20_000
+SEED = 31
 SMOOTHING = 0.5
 
 SPAN = "array<struct<kind:int,start:long,end:long>>"
@@ -119,7 +122,7 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLES) -> DataFrame:
 
     Values of base matches are random strings, words of letters ordinary
     identifiers.  A hash of the value picks the same ones on every run; at most
-    ``most`` distinct values of each label are kept.
+    ``most`` distinct values of each label are kept.  Runs jobs.
     """
     text = F.coalesce("text", F.lit(""))
     secret = F.concat(
@@ -144,9 +147,7 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLES) -> DataFrame:
         )
         .distinct()
     )
-    picked = [
-        part.orderBy(F.xxhash64("value"), "value").limit(most) for part in (randoms, plain)
-    ]
+    picked = [first_by_hash(checkpointed(part), most, SEED, "value") for part in (randoms, plain)]
     return picked[0].unionByName(picked[1])
 
 
