@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankbench.llm.sampling import first_by_hash
 from rankbench.session import checkpointed
 
 # Labelled documents that a model is learned from, at most.
@@ -162,13 +163,13 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int
     ``labels`` has (doc_id, toxic).  The chosen ids, at most ``most``, are
     broadcast; texts do not move.  Runs a job.
     """
-    chosen = (
+    known = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-        .limit(most)
-        .withColumn("half", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)))
+    )
+    chosen = first_by_hash(known, most, seed, "doc_id").withColumn(
+        "half", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2))
     )
     return checkpointed(
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
