@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankbench.llm.arrays import text_runs
+from rankbench.llm.sampling import draw, enough
 from rankbench.session import checkpointed
 
 ORDER = 5
@@ -194,10 +195,18 @@ def sample_of(
 ) -> DataFrame:
     """Rows (text, lang, check) of labelled documents; every fourth is for checking.
 
-    The chosen ids, at most ``most``, are broadcast; texts do not move.  Runs a job.
+    The chosen ids, at most ``most``, are broadcast; texts do not move.  Runs jobs.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    ranked = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn(
+    order = draw(seed, "doc_id")
+    known = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
+    # one row for each language, and so for each model that will be held
+    totals = known.groupBy("lang").count().collect()
+    bars = [F.lit(x) for r in totals for x in (r["lang"], float(enough(per_language, r["count"])))]
+    if not bars:
+        bars = [F.lit(""), F.lit(0.0)]
+    # rows that can't be among the first of their language stay where they lie
+    near = known.where(order < F.create_map(*bars)[F.col("lang")])
+    ranked = near.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     )
     chosen = (
