@@ -3,7 +3,17 @@
 In each pass every vector gets a hash of concatenated signs of random
 projections; vectors are sorted by it, and each is compared with the next few
 in that order.  Pairs that reach the cosine link, and the links of all passes
-are united to components.  An exact count follows: inside each component every
+are united to components.
+
+In a dense group more vectors lie between two near ones than a window holds, so
+further passes compare whole runs: all vectors whose hash begins with the same
+few bits, however many.  A pair at the cosine shares such a run with a known
+chance whatever lies around it; the bits follow the number of vectors, and the
+passes follow the bits, so that a pair is missed by all with a chance of
+``MISS`` at most.  A table of up to one block is one run, compared in full.  A
+long run is compared in cells of two blocks like a component.
+
+An exact count follows: inside each component every
 pair is compared in blocks, so a member's number of links is whole however
 narrow the window was.  That count emits a number for each vector, no pairs.
 
@@ -18,6 +28,7 @@ like any other and link with each other; an empty table gives an empty result.
 Other columns play no part.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +47,17 @@ BITS = 62
 SEED = 11
 # Vectors in one block of the exact count, and the rows that share a task's frame.
 BLOCK = 1024
+# Chance that no run holds both vectors of a pair that just reaches the cosine.
+MISS = 1e-6
+# A long run is cut into this many blocks, and into more once they have MOST rows.
+PARTS = 16
+MOST = 16_384
+# Long runs up to this many are broadcast.
+BROADCAST = 100_000
+# Rounding of a 32-bit cosine, far below what is looked for.
+SLACK = 1e-3
+# Cosines that a task holds at a time.
+TILE = 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -66,13 +88,13 @@ def _matrix(column: pa.Array, dtype) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _keyed(passes: int, bits: int, seed: int, dtype):
-    """One row for each vector and pass: (pass, dim, key, id, vector)."""
+    """One row for each vector and pass: (pass, dim, key, the other columns, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
         made: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            others = [c for c in batch.schema.names if c != "vector"]
             for at, matrix in _matrix(batch.column("vector"), dtype):
                 dim = matrix.shape[1]
                 if dim not in made:
@@ -86,10 +108,10 @@ def _keyed(passes: int, bits: int, seed: int, dtype):
                             pa.array(np.full(n, p, np.int32)),
                             pa.array(np.full(n, dim, np.int32)),
                             pa.array(signs @ powers),
-                            pa.array(ids[at]),
+                            *(batch.column(c).take(pa.array(at)) for c in others),
                             raw,
                         ],
-                        ["pass", "dim", "key", "id", "vector"],
+                        ["pass", "dim", "key", *others, "vector"],
                     )
 
     return run
@@ -233,6 +255,88 @@ def projection_links(
     return links.unionByName(seams.groupBy("seam").applyInPandas(across, "a long, b long"))
 
 
+def run_passes(vectors: int, cosine: float, block: int, miss: float = MISS) -> tuple[int, int]:
+    """(bits, passes) of the runs: about a block in a run of spread-out vectors.
+
+    Signs of one projection differ for a pair with a chance of angle / pi.
+    """
+    bits = min(BITS, max(0, math.ceil(math.log2(max(1, vectors) / block))))
+    shared = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return bits, 1 if shared >= 1 else math.ceil(math.log(miss) / math.log1p(-shared))
+
+
+def _run_cell(cosine: float, dtype):
+    """Links between the two blocks of a cell that are not in one component yet, as a forest."""
+
+    def run(frame):
+        matrix = np.frombuffer(b"".join(frame["vector"]), dtype).astype(np.float64)
+        matrix = matrix.reshape(len(frame), -1)
+        norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+        unit = (matrix / norms[:, None]).astype(np.float32)
+        own, ids, root = (frame[c].to_numpy() for c in ("own", "id", "root"))
+        left = np.flatnonzero(own == frame["i"].iloc[0])
+        right = np.flatnonzero(own == frame["j"].iloc[0])
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        step = max(1, TILE // max(1, len(right)))
+        for start in range(0, len(left), step):
+            rows = left[start : start + step]
+            maybe = unit[rows] @ unit[right].T >= cosine - SLACK
+            rows = rows[maybe.any(axis=1)]
+            if not len(rows):
+                continue
+            maybe = maybe[maybe.any(axis=1)] & (root[rows][:, None] != root[right])
+            rows, maybe = rows[maybe.any(axis=1)], maybe[maybe.any(axis=1)]
+            near = matrix[rows] @ matrix[right].T / np.outer(norms[rows], norms[right]) >= cosine
+            x, y = np.nonzero(near & maybe)
+            if len(x):
+                a, b = forest(np.concatenate([a, ids[rows[x]]]), np.concatenate([b, ids[right[y]]]))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def run_links(
+    members: DataFrame, cosine: float = COSINE, seed: int = SEED, block: int = BLOCK
+) -> DataFrame:
+    """Links (a, b) across components, for rows (id, root, vector), ids unique.
+
+    Compares all vectors of a run, the runs of ``run_passes``; density only makes
+    more cells.  A run of up to ``block`` vectors is one cell.  Counts the members
+    and the long runs.
+    """
+    element = members.schema["vector"].dataType.elementType.simpleString()
+    dtype = np.float32 if element == "float" else np.float64
+    bits, passes = run_passes(members.count(), cosine, block)
+    run = ["pass", "dim", "key"]
+    keyed = members.select("id", "root", "vector").mapInArrow(
+        _keyed(passes, bits, seed, dtype),
+        "pass int, dim int, key long, id long, root long, vector binary",
+    )
+    blocks = F.greatest(
+        F.least(F.ceil(F.col("n") / block), F.lit(PARTS)), F.ceil(F.col("n") / max(block, MOST))
+    )
+    large = checkpointed(
+        keyed.groupBy(*run)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > block)
+        .select(*run, blocks.cast("int").alias("blocks"))
+    )
+    large = F.broadcast(large) if large.count() <= BROADCAST else large
+    placed = keyed.join(large, run, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = (
+        placed.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            *run, "id", "root", "vector", "own",
+            F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        )
+    )
+    return cells.groupBy(*run, "i", "j").applyInPandas(
+        _run_cell(cosine, dtype), "a long, b long"
+    )
+
+
 def _count_cell(cosine: float, dtype):
     """Links of each vector to the others in its cells, copies counted."""
 
@@ -325,12 +429,25 @@ def near_duplicates(
         ).withColumn("id", F.monotonically_increasing_id())
     )
     vectors = distinct.select("id", F.col("embedding").alias("vector"))
+
+    def joined(roots):
+        return checkpointed(
+            distinct.join(roots, F.col("id") == F.col("node"), "left").select(
+                "id", "embedding", "first", "copies",
+                F.coalesce("root", "id").alias("root"),
+            )
+        )
+
     roots = components(projection_links(vectors, cosine, passes, window, bits, seed))
-    linked = distinct.join(roots, F.col("id") == F.col("node"), "left").select(
-        "id", "embedding", "first", "copies",
-        F.coalesce("root", "id").alias("root"),
+    linked = joined(roots)
+    more = checkpointed(
+        run_links(
+            linked.select("id", "root", F.col("embedding").alias("vector")), cosine, seed, block
+        )
     )
-    linked = checkpointed(linked)
+    if more.take(1):
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        linked = joined(components(known.unionByName(more)))
     names = linked.groupBy("root").agg(
         F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")
     )

@@ -67,6 +67,45 @@ def test_planted(spark, block):
     assert sorted((tuple(r) for r in found), key=str) == slow(rows)
 
 
+def crowd(rows, pairs, cone, dim=64, seed=5):
+    """Unit vectors, two thirds of them at ``cone`` to each other; planted pairs inside at 0.95-0.97."""
+    rng = np.random.default_rng(seed)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    axis = unit(rng.standard_normal(dim))
+    side = rng.standard_normal((2 * rows // 3, dim))
+    side = unit(side - np.outer(side @ axis, axis))
+    hot = np.sqrt(cone) * axis + np.sqrt(1 - cone) * side
+    first = hot[:pairs]
+    away = rng.standard_normal((pairs, dim))
+    away = unit(away - np.sum(away * first, axis=1, keepdims=True) * first)
+    near = rng.uniform(0.951, 0.97, (pairs, 1))
+    second = near * first + np.sqrt(1 - near**2) * away
+    return np.concatenate([hot, second, unit(rng.standard_normal((rows // 3, dim)))])
+
+
+def test_links_inside_a_dense_group(spark):
+    vectors = crowd(6000, 200, 0.85)
+    near = vectors @ vectors.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 400
+    table = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"
+    ).repartition(4)
+    found = vector_dedup.near_duplicates(table).select("vec_id", "n_links").collect()
+    assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_runs_follow_the_number_of_vectors():
+    assert vector_dedup.run_passes(1024, 0.95, 1024) == (0, 1)
+    for vectors in (2_000, 51_000, 10**6, 10**9):
+        bits, passes = vector_dedup.run_passes(vectors, 0.95, 1024)
+        shared = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert vectors / 2**bits <= 1024 and (1 - shared) ** passes <= 1e-6
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (7, [0.0, 1.0])]
     found = vector_dedup.near_duplicates(
