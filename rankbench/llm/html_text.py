@@ -52,8 +52,9 @@ ENDED_BY = {
 ENDS_P = BLOCKS - {"html", "body"}
 # Words of class, id, role and label that name what is not main text.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|menu\w*|nav\w*|breadcrumbs?|"
-    r"side-?bar\w*|rail|foot(?:er)?\w*|head(?:er)?|masthead|top-?bar|comments?|comment-?\w+|disqus|respon[ds]\w*|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|menu\w*|breadcrumbs?|"
+    r"nav(?:s|i|bars?|igations?|igator|links?|lists?|menus?|items?|box|boxes|pills?|tabs?|wrap|wrapper|container|main|top|left|right)?|"
+    r"side-?bar\w*|rail|foot(?:er)?\w*|head(?:er)?|masthead|top-?bar|comments?|comment-?\w+|disqus|respond|responses?|"
     r"replies|reply|cookies?|consent|gdpr|notice|alert|popup|pop-?over|modal|overlay|newsletter|subscri\w+|"
     r"sign-?up|log-?in|share|sharing|social|related|recommend\w*|outbrain|taboola|widget\w*|pagination|pager|"
     r"paging|tags?|tool-?bar|skip(?:-?\w+)?|hidden|hide|screen-reader\w*|sr-only|legal|copyright|disclaimer|"

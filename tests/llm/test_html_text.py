@@ -42,6 +42,18 @@ def test_planted(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["table-responsive", "container responsive", "bg-navy", "navy-blue box", "navajo"])
+def test_wrappers_that_only_sound_unwanted(name):
+    page = f"<body><div class='{name}'><p>{PROSE}</p><table><tr><td>a<td>b</table></div></body>"
+    assert html_text.extract(page) == f"{PROSE}\na\nb"
+
+
+@pytest.mark.parametrize("name", ["nav", "navbar", "main-nav", "nav-tabs", "navigation", "respond", "responses", "user_response"])
+def test_wrappers_that_are_unwanted(name):
+    page = f"<body><div class='{name}'><p>{PROSE}</p></div><article><p>Text.</p></article></body>"
+    assert html_text.extract(page) == "Text."
+
+
 def test_broken_and_long_pages():
     for page in (PAGES[-1][0], "<div>" * 5000 + "deep", "<p" * 100, "</p></div></x>t", "<a b='c>x", "<!--", "<script>"):
         assert isinstance(html_text.extract(page), str)
