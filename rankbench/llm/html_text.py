@@ -5,8 +5,10 @@ text are dropped: scripts, styles, forms, navigation, headers, footers, asides,
 and those whose class, id or role names a menu, advert, notice, comment list or
 the like.  Each paragraph gives points for its length and its commas to its
 ancestors, the nearer the more; an element's points are discounted by the share
-of its text that is in links.  The best container and those of its siblings
-that score well or read like prose are kept, and their blocks are joined.
+of its text that is in links.  The best container is the start; the article or
+main it stands in is kept whole but for lists of links, and elsewhere the parts
+beside it and beside its ancestors that score well or hold prose are kept, with
+the headings, lists, tables and figures between them.  Their blocks are joined.
 
 Defined results: a null or empty page, or one without text outside the dropped
 elements, has an empty text; unclosed and stray tags are closed or ignored as
@@ -78,6 +80,15 @@ _SPACE = re.compile(r"\s+")
 # one more, up to three.
 LEAST_CHARS = 25
 CHARS_PER_POINT = 100
+# What stays beside main text if fewer of its characters than LINKED are in links.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table figure".split())
+LINKED = 0.25
+# A child of an article or main is a list of links from this share on, unless it
+# is a heading or paragraph.
+LISTED = 0.5
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure".split())
+# Text of more characters reads like prose; shorter text must end like a sentence.
+PROSE_CHARS = 80
 
 
 class Node:
@@ -283,7 +294,7 @@ def _own_text(node: Node) -> str:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """Best container and the siblings that go with it, in page order."""
+    """Best container and what goes with it, in page order."""
     sizes, order = _measured(root)
     touched = []
     for node in order:
@@ -308,19 +319,106 @@ def main_nodes(root: Node) -> list[Node]:
     final = {id(n): n.score * (1 - _density(n, sizes)) for n in touched}
     candidates = [n for n in touched if n.name in CONTAINERS] or touched
     best = max(candidates, key=lambda n: final[id(n)])
-    if best.parent is None:
-        return [best]
+    return [_whole(best, final, sizes)]
+
+
+def _prose(node: Node, sizes: dict) -> bool:
+    """Whether a node is or holds a paragraph that reads like prose."""
+    stack = [node]
+    while stack:
+        here = stack.pop()
+        text = _own_text(here) if here.name in PARAGRAPHS else ""
+        if _reads(text) and _own_density(here) < LINKED:
+            return True
+        stack.extend(c for c in here.children if isinstance(c, Node))
+    return False
+
+
+def _reads(text: str) -> bool:
+    return len(text) > PROSE_CHARS or (len(text) >= LEAST_CHARS and bool(re.search(r"[.!?。！？]$", text)))
+
+
+def _own_density(node: Node) -> float:
+    """Share of a node's text outside its child blocks that is in links."""
+    text = links = 0
+    stack = [(node, node.name == "a")]
+    while stack:
+        here, linked = stack.pop()
+        if isinstance(here, str):
+            n = len(_SPACE.sub(" ", here).strip())
+            text, links = text + n, links + n * linked
+        elif here is node or here.name not in BLOCKS:
+            stack.extend((c, linked or here.name == "a") for c in here.children)
+    return links / text if text else 0.0
+
+
+def _whole(best: Node, final: dict, sizes: dict) -> Node:
+    """The best container with what belongs to it, a tree without the rest.
+
+    Inside an article or main that is all of it but lists of links.  Elsewhere,
+    and beside an article, each ancestor adds its children that score well or
+    hold prose, up to the last one that has such a container or paragraph; below
+    that one headings, lists, tables, figures and bare text of few links stay too.
+    """
+    path = list(_up(best))
+    mains = [k for k, n in enumerate(path) if n.name == "main"]
+    articles = [k for k, n in enumerate(path) if n.name == "article"]
+    # up to here everything is main text
+    sure = (mains or articles or [0])[-1]
     bar = max(10.0, 0.2 * final[id(best)])
-    kept = []
-    for sibling in best.parent.children:
-        if not isinstance(sibling, Node) or sibling.name not in BLOCKS:
-            continue
-        if sibling is best or final.get(id(sibling), 0.0) >= bar:
-            kept.append(sibling)
-        elif sibling.name in ("p", "h1", "h2", "h3", "blockquote", "pre"):
-            text, density = _own_text(sibling), _density(sibling, sizes)
-            if density < 0.25 and (sibling.name[0] == "h" or len(text) > 80 or re.search(r"[.!?]$", text)):
-                kept.append(sibling)
+
+    def belongs(child: Node) -> bool:
+        if final.get(id(child), 0.0) >= bar:
+            return True
+        if _density(child, sizes) >= LINKED:
+            return False
+        if child.name in ("p", "blockquote", "pre"):
+            text = _own_text(child)
+            return _prose(child, sizes) or bool(re.search(r"[.!?]$", text))
+        return (child.name == "article" or not articles) and _prose(child, sizes)
+
+    top = sure
+    for k in range(sure + 1, 1 if mains else len(path)):
+        if any(
+            isinstance(c, Node) and c.name in BLOCKS and c is not path[k - 1] and belongs(c)
+            for c in path[k].children
+        ):
+            top = k
+    # headings beside the best container, even if nothing else is
+    if not mains:
+        top = max(top, min(sure + 1, len(path) - 1))
+    kept = best
+    for k in range(1, top + 1):
+        above = Node(path[k].name)
+        run: list = []  # bare text
+
+        def end():
+            if run:
+                bare = Node("none")
+                bare.children = list(run)
+                text, linked = _own_text(bare), _own_density(bare)
+                if text and linked < LINKED and (k <= sure or not articles and _reads(text)):
+                    above.children.extend(run)
+                run.clear()
+
+        for child in path[k].children:
+            if isinstance(child, str) or child.name not in BLOCKS and child is not path[k - 1]:
+                run.append(child)
+                continue
+            end()
+            if child is path[k - 1]:
+                above.children.append(kept)
+            elif k <= sure:
+                keep = child.name in TITLES or _density(child, sizes) < LISTED
+                above.children.append(child if keep else Node("gap"))
+            elif belongs(child) or child.name in BESIDE and _density(child, sizes) < LINKED and (
+                not articles or child.name in ("h1", "h2", "h3")
+            ):
+                above.children.append(child)
+            else:
+                above.children.append(Node("gap"))
+        end()
+        kept = above
     return kept
 
 

@@ -54,6 +54,37 @@ def test_wrappers_that_are_unwanted(name):
     assert html_text.extract(page) == "Text."
 
 
+LONG = "Words, more words, and still more of them, " * 7 + "end."
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div class=page", "div"])
+@pytest.mark.parametrize("part", ["section", "div"])
+@pytest.mark.parametrize("wrap", ["", "div"])
+def test_one_long_and_several_short_parts(outer, part, wrap):
+    def made(title, n):
+        text = f"<{part}><h2>{title}</h2>" + f"<p>{LONG}</p>" * n + f"</{part}>"
+        return f"<{wrap}>{text}</{wrap}>" if wrap else text
+
+    page = (
+        f"<body><nav>Home</nav><{outer}>" + made("A", 5) + made("B", 30) + "<h4>Small</h4><ul><li>x<li>y</ul>"
+        f"<table><tr><td>c</table><figure>f</figure>{LONG}" + made("C", 1)
+        + "<ul><li><a href=1>one</a><li><a href=2>two</a></ul>"
+        + f"<div class=related>{LONG}</div></{outer.split()[0]}><footer>Foot</footer></body>"
+    )
+    blocks = ["A", *[LONG] * 5, "B", *[LONG] * 30, "Small", "x", "y", "c", "f", LONG, "C", LONG]
+    assert html_text.extract(page) == "\n".join(blocks)
+
+
+def test_linked_headings_of_an_article_stay():
+    page = f"<article><h2><a href=1>T</a></h2><section>{f'<p>{LONG}</p>' * 30}</section><section><p>{LONG}</p></section></article>"
+    assert html_text.extract(page) == "\n".join(["T", *[LONG] * 31])
+
+
+def test_what_stands_beside_an_article_stays_out():
+    page = f"<body><div>About us, and a few words more.</div><article><p>{LONG}</p></article><div>Made with care.</div></body>"
+    assert html_text.extract(page) == LONG
+
+
 def test_broken_and_long_pages():
     for page in (PAGES[-1][0], "<div>" * 5000 + "deep", "<p" * 100, "</p></div></x>t", "<a b='c>x", "<!--", "<script>"):
         assert isinstance(html_text.extract(page), str)
