@@ -162,6 +162,11 @@ def near_duplicates(
     included.  Texts never leave the scan: only ids and fingerprints move.
     Equal fingerprints are one node, whatever their number.  Runs jobs.
     """
+    return _grouped(docs, width, max_bits, block).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, max_bits: int, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, fp, root, component_id); the root alone tells components apart."""
     marked = checkpointed(docs.select("doc_id", fingerprint("text", width).alias("fp")))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(linked_fingerprints(nodes.select("fp"), max_bits, block))
@@ -169,23 +174,35 @@ def near_duplicates(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(named, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row for each component: that of the smallest doc_id.
 
-    A component whose ids are all null keeps one of its rows, and so does an id
-    that stands on several rows.
+    A component whose ids are all null keeps one of its rows.  Where its smallest
+    id stands on several of its rows, one with the least fingerprint stays; rows
+    of that id in other components are judged there.
     """
-    found = checkpointed(near_duplicates(docs, width, max_bits))
-    ids = found.where("doc_id is not null and doc_id = component_id")
-    single = ids.groupBy("doc_id").count()
-    once = docs.join(single.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(single.where("count > 1").select("doc_id"), "doc_id", "left_semi")
+    found = checkpointed(_grouped(docs, width, max_bits))
+    best = (
+        found.where("doc_id is not null and doc_id = component_id")
+        .groupBy("root")
+        .agg(F.min("component_id").alias("doc_id"), F.min("fp").alias("_fp"))
+    )
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    best = checkpointed(best.join(rows, "doc_id").select("doc_id", "_fp", "n"))
+    once = docs.join(best.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # only rows of repeated ids need their fingerprints again
+    again = (
+        docs.join(best.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+        .withColumn("_fp", fingerprint("text", width))
+        .join(best.where("n > 1").select("doc_id", "_fp"), ["doc_id", "_fp"], "left_semi")
+        .dropDuplicates(["doc_id", "_fp"])
+    )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = once.select(*columns).unionByName(again.dropDuplicates(["doc_id"]).select(*columns))
+    kept = once.select(*columns).unionByName(again.select(*columns))
     if docs.where("doc_id is null").isEmpty():
         return kept
     # components without any id: their rows meet by the root of their fingerprints

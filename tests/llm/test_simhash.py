@@ -105,6 +105,14 @@ def test_null_and_repeated_ids(spark):
     assert kept == [("1", text), ("None", "other words here")]
 
 
+def test_an_id_in_several_components(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (1, b), (3, b), (0, c), (1, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect())
+    assert kept == [(0, c), (1, a), (1, b)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
