@@ -13,6 +13,7 @@ from rankbench.llm import (
     sharding,
     simhash,
     toxicity,
+    trie_dedup,
     vector_dedup,
 )
 
@@ -111,6 +112,10 @@ def op10_hash_tree_shards(spark, sf_dir):
     )
 
 
+def op13_trie_exact_dedup(spark, sf_dir):
+    return trie_dedup.duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -124,10 +129,26 @@ QUERIES = {
         op8_embedding_dedup,
         op9_simhash_dedup,
         op10_hash_tree_shards,
+        op13_trie_exact_dedup,
     ]
 }
 
 ORACLES: dict[str, str] = {
+    "op13_trie_exact_dedup": """
+        with lowered as (
+            select doc_id, translate(
+                coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+            ) as t
+            from documents
+        )
+        select
+            doc_id,
+            max(doc_id) over (partition by t) as keep_id,
+            count(*) over (partition by t) as group_size,
+            doc_id = max(doc_id) over (partition by t) as kept,
+            sha256(t) as text_sha256
+        from lowered
+    """,
     # every pair of vectors: for the small tables
     "op8_embedding_dedup": """
         with recursive vectors as (
