@@ -7,6 +7,7 @@ from rankbench.llm import (
     ann,
     html_text,
     langid,
+    merkle,
     mixing,
     packing,
     secrets,
@@ -112,6 +113,12 @@ def op10_hash_tree_shards(spark, sf_dir):
     )
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    altered = F.when(toxicity.held_out(F.col("doc_id"), 3, 0), merkle.lowered(F.col("text")))
+    return merkle.proofs(merkle.manifest(docs, altered))
+
+
 def op13_trie_exact_dedup(spark, sf_dir):
     return trie_dedup.duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -129,11 +136,107 @@ QUERIES = {
         op8_embedding_dedup,
         op9_simhash_dedup,
         op10_hash_tree_shards,
+        op12_merkle_manifest,
         op13_trie_exact_dedup,
     ]
 }
 
 ORACLES: dict[str, str] = {
+    # crc32 bit by bit over the digits of the id; the trees level by level
+    "op12_merkle_manifest": """
+        with recursive written as (
+            select
+                doc_id, lang, text,
+                case when doc_id is null then '-'
+                    else strlen(doc_id::varchar) || ':' || doc_id::varchar end
+                || case when source is null then '-' else strlen(source) || ':' || source end
+                || case when lang is null then '-' else strlen(lang) || ':' || lang end
+                || case when n_chars is null then '-'
+                    else strlen(n_chars::varchar) || ':' || n_chars::varchar end as head,
+                xor(list_reduce(
+                    list_prepend(4294967295::bigint, list_transform(
+                        string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+                    lambda crc, byte: list_reduce(
+                        list_prepend(xor(crc, byte), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                        lambda v, _: xor(v >> 1, (v & 1) * 3988292384::bigint))
+                ), 4294967295::bigint) as crc
+            from documents
+        ),
+        marked as (
+            select
+                doc_id, lang,
+                sha256(head || case when text is null then '-'
+                    else strlen(text) || ':' || text end) as leaf,
+                case when crc % 3 = 0 and text is not null then sha256(
+                    head || strlen(text) || ':' || translate(
+                        text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                ) end as altered
+            from written
+        ),
+        grouped as (select *, dense_rank() over (order by lang nulls first) as gi from marked),
+        leaves as materialized (
+            select
+                doc_id, gi, leaf, coalesce(altered, leaf) as given,
+                row_number() over (partition by gi order by doc_id nulls first, leaf) - 1 as pos,
+                count(*) over (partition by gi) as m
+            from grouped
+        ),
+        nodes(lvl, gi, pos, h, m) as (
+            select 0, gi, pos, leaf, m from leaves
+            union all
+            select lvl + 1, gi, pos // 8, sha256(string_agg(h, '' order by pos)), (m + 7) // 8
+            from nodes where m > 1 group by lvl, gi, pos // 8, m
+        ),
+        ways as materialized (
+            select lvl, gi, pos,
+                coalesce(string_agg(h, '') over (partition by lvl, gi, pos // 8 order by pos
+                    rows between unbounded preceding and 1 preceding), '') as a,
+                coalesce(string_agg(h, '') over (partition by lvl, gi, pos // 8 order by pos
+                    rows between 1 following and unbounded following), '') as b
+            from nodes where m > 1
+        ),
+        walk(start, lvl, gi, pos, m, f, sib) as (
+            select pos, 0, gi, pos, m, given, '' from leaves
+            union all
+            select start, walk.lvl + 1, walk.gi, walk.pos // 8, (m + 7) // 8,
+                sha256(a || f || b), sib || a || b
+            from walk join ways
+                on walk.lvl = ways.lvl and walk.gi = ways.gi and walk.pos = ways.pos
+            where m > 1
+        ),
+        subroots as materialized (select gi, h, count(*) over () as m from nodes where m = 1),
+        top_nodes(lvl, pos, h, m) as (
+            select 0, gi - 1, h, m from subroots
+            union all
+            select lvl + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (m + 7) // 8
+            from top_nodes where m > 1 group by lvl, pos // 8, m
+        ),
+        top_ways as materialized (
+            select lvl, pos,
+                coalesce(string_agg(h, '') over (partition by lvl, pos // 8 order by pos
+                    rows between unbounded preceding and 1 preceding), '') as a,
+                coalesce(string_agg(h, '') over (partition by lvl, pos // 8 order by pos
+                    rows between 1 following and unbounded following), '') as b
+            from top_nodes where m > 1
+        ),
+        top_walk(start, gi, lvl, pos, m, f, sib) as (
+            select w.start, w.gi, 0, w.gi - 1, s.m, w.f, w.sib
+            from walk w join subroots s on w.gi = s.gi where w.m = 1
+            union all
+            select start, gi, top_walk.lvl + 1, top_walk.pos // 8, (m + 7) // 8,
+                sha256(a || f || b), sib || a || b
+            from top_walk join top_ways
+                on top_walk.lvl = top_ways.lvl and top_walk.pos = top_ways.pos
+            where m > 1
+        )
+        select
+            l.doc_id, l.leaf, s.h as subroot, r.h as root, sha256(t.sib) as proof_sha256,
+            t.f as folded_root, t.f = r.h as verified
+        from leaves l
+        join top_walk t on l.gi = t.gi and l.pos = t.start and t.m = 1
+        join subroots s on l.gi = s.gi
+        join (select h from top_nodes where m = 1) r on true
+    """,
     "op13_trie_exact_dedup": """
         with lowered as (
             select doc_id, translate(
