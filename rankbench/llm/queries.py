@@ -16,6 +16,7 @@ from rankbench.llm import (
     toxicity,
     trie_dedup,
     vector_dedup,
+    whitening,
 )
 
 
@@ -113,6 +114,31 @@ def op10_hash_tree_shards(spark, sf_dir):
     )
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    schema = (
+        f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, component int, n long, "
+        "deviation long, whitened double, explained double, identity_error double"
+    )
+    if model is None:
+        return spark.createDataFrame([], schema)
+    shares = [float(e) / model.total for e in model.eigenvalues[: whitening.COMPONENTS]]
+    error = whitening.identity_error(vectors, model)
+    rows = whitening.transform(vectors, model)
+    return rows.select(
+        "vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened")
+    ).select(
+        "vec_id",
+        (F.col("pos") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        F.col("col").alias("whitened"),
+        F.get(F.lit(shares), F.col("pos")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 def op12_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     altered = F.when(toxicity.held_out(F.col("doc_id"), 3, 0), merkle.lowered(F.col("text")))
@@ -136,6 +162,7 @@ QUERIES = {
         op8_embedding_dedup,
         op9_simhash_dedup,
         op10_hash_tree_shards,
+        op11_embedding_whitening,
         op12_merkle_manifest,
         op13_trie_exact_dedup,
     ]
