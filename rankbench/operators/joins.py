@@ -35,6 +35,18 @@ def lookup_join(
     return warm.unionByName(cold)
 
 
+# A table of a few numbers and a key a row is short up to this many rows.
+SHORT_ROWS = 500_000
+
+
+def broadcast_if_short(table: DataFrame, most: int = SHORT_ROWS) -> DataFrame:
+    """A materialised table, marked for broadcast if it is short.
+
+    Counts the table; a longer one is joined by the shuffle that Spark picks.
+    """
+    return F.broadcast(table) if table.count() <= most else table
+
+
 # Candidate rows up to this many are broadcast to filter a large table; a docno
 # is at most 50 characters.
 BROADCAST_ROWS = 200_000

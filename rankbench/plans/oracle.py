@@ -407,6 +407,7 @@ kept as (select query, positive, negative from triples where triple_id % 5 <> 0)
     number = f"row_number() over (order by {digest('42', 'docno')})"
     return {
         "io_csv_roundtrip": with_(BENCH, select="select docno, title, text from docs"),
+        "io_csv_split": with_(BENCH, select="select docno, title, text from docs"),
         "io_csv_columns": with_(BENCH, select="select docno, text from docs"),
         "io_transform_rename": with_(BENCH, select=f"""
             select docno as doc_key, title, {spaced(toks('text'))} as text,

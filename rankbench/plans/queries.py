@@ -29,7 +29,7 @@ from rankbench.operators.ranking import TOPK, as_run, rounded, top_k
 from rankbench.plans import chains, steps, views
 from rankbench.plans.collections import Collection, collection
 from rankbench.session import checkpointed, fresh_path
-from rankbench.sources import files
+from rankbench.sources import files, split_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,11 @@ def io_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, _corpus_csv(spark, sf_dir), schemas.CORPUS)
 
 
+@query
+def io_csv_split(spark, sf_dir):
+    return split_csv.read_split_csv(spark, _corpus_csv(spark, sf_dir), schemas.CORPUS)
+
+
 @query
 def io_csv_columns(spark, sf_dir):
     return files.read_csv(spark, _corpus_csv(spark, sf_dir), schemas.CORPUS, ["docno", "text"])

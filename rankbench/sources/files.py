@@ -26,24 +26,26 @@ def read_csv(
     """Declared-schema CSV scan; quoted newlines and doubled quotes are kept.
 
     A blank field is null, a quoted empty one the empty string.
-    A file with quoted newlines can't be split, so large tables should be many
-    files, which is how :func:`write_csv` leaves them.
+    Each file is read by one task, which suits folders of many files, as
+    :func:`write_csv` leaves them; ``split_csv`` reads large files in blocks.
     """
-    df = (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("sep", sep)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("nullValue", _BLANK)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    df = spark.read.schema(schema).options(header=header, **csv_options(sep)).csv(path)
     return df.select(*columns) if columns else df
 
 
+def csv_options(sep: str = ",") -> dict[str, str]:
+    """Options of the format that every reader shares."""
+    return {
+        "sep": sep,
+        "multiLine": "true",
+        "quote": '"',
+        "escape": '"',
+        "encoding": "UTF-8",
+        "nullValue": _BLANK,
+        "mode": "FAILFAST",
+    }
+
+
 def write_csv(
     df: DataFrame,
     path: str,
