@@ -1,12 +1,13 @@
 """Exact top-k of every query over every document with a block scorer.
 
-Documents stay where they are.  Queries come in batches of bounded size, each
-sent to every task once; a task fills a small matrix of scores at a time and
-only its best rows per query leave it, so the pairs are never rows of a table.
+Queries are dealt into blocks and documents into cells, both of bounded size,
+and each pair of a block and a cell meets by key in one task.  A task fills a
+small matrix of scores at a time and only its best rows per query leave it, so
+the pairs are never rows of a table.  Documents are scanned once, whatever the
+number of queries, and neither side passes the driver.
 """
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,15 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankbench.operators.ranking import PLACES, TOPK, top_k
+from rankbench.session import task_count
 
 # documents -> matrix of scores, one row per query of the block it was made for
 DocScorer = Callable[[pd.DataFrame], np.ndarray]
 # queries of a block -> scorer; called once for each block and task
 BlockScorer = Callable[[pd.DataFrame], DocScorer]
-# called once per task, so it is the place to load a model
+# called once per task and not for each block, so it is the place to load a model
 ScorerFactory = Callable[[], BlockScorer]
 
 BATCH_QUERIES = 4096
+CELL_DOCS = 4096
 BATCH_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK = 256
 DOC_BLOCK = 1024
@@ -37,20 +40,51 @@ def exhaustive_top_k(
     k: int = TOPK,
     batch_queries: int = BATCH_QUERIES,
     batch_bytes: int = BATCH_BYTES,
+    cell_docs: int = CELL_DOCS,
     rank_base: int = 1,
 ) -> DataFrame:
     """qid, docno, score, rank.
 
     A score that is not a number ranks below all others and comes back as null.
-    Runs a count of the queries, and collects each batch of them, bounded by
-    ``batch_queries`` and ``batch_bytes`` on average, to send it on.
+    A block holds up to ``batch_queries`` queries and ``batch_bytes`` on average,
+    a cell ``cell_docs`` documents.  Counts both sides.
     """
     sized = queries.select(_row_bytes(queries).alias("bytes"))
     n_queries, n_bytes = sized.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-    n = max(1, -(-n_queries // batch_queries), -(-int(n_bytes or 0) // batch_bytes))
-    batch = F.pmod(F.xxhash64("qid"), F.lit(n))
-    partial = [_one_batch(queries.where(batch == i), docs, scorer, k) for i in range(n)]
-    return top_k(reduce(DataFrame.unionByName, partial), k, rank_base=rank_base)
+    n_blocks = max(1, -(-n_queries // batch_queries), -(-int(n_bytes or 0) // batch_bytes))
+    n_cells = max(task_count(docs.sparkSession), -(-docs.count() // cell_docs))
+    block, cell = _dealt(n_blocks), _dealt(n_cells)
+    asked = queries.withColumn("_block", block).withColumn("_cell", _each(n_cells))
+    placed = docs.withColumn("_cell", cell).withColumn("_block", _each(n_blocks))
+    found = (
+        asked.groupBy("_block", "_cell")
+        .cogroup(placed.groupBy("_block", "_cell"))
+        .applyInPandas(_cell_scores(scorer, k), RESULT)
+    )
+    return top_k(found, k, rank_base=rank_base)
+
+
+def _dealt(n: int):
+    """Rows to ``n`` parts in turn, so that no value of theirs fills one."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+
+
+def _each(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _cell_scores(scorer: ScorerFactory, k: int):
+    loaded: list[BlockScorer] = []  # of this task
+
+    def once() -> BlockScorer:
+        if not loaded:
+            loaded.append(scorer())
+        return loaded[0]
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        return best_per_query(queries, iter([docs] if len(docs) else []), once, k)
+
+    return run
 
 
 def _row_bytes(df: DataFrame):
@@ -71,15 +105,6 @@ def _row_bytes(df: DataFrame):
     return total
 
 
-def _one_batch(queries: DataFrame, docs: DataFrame, scorer: ScorerFactory, k: int) -> DataFrame:
-    sent = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
-
-    def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield best_per_query(sent.value, frames, scorer, k)
-
-    return docs.mapInPandas(per_task, RESULT)
-
-
 def best_per_query(
     queries: pd.DataFrame, frames: Iterator[pd.DataFrame], scorer: ScorerFactory, k: int
 ) -> pd.DataFrame:

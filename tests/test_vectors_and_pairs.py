@@ -56,6 +56,28 @@ def test_many_batches_give_the_same(toy):
     assert ranked(whole) == ranked(dense.retrieve_dense(queries, docs, batch_bytes=400))
 
 
+def test_cells_give_the_same_and_documents_are_scanned_once(spark, toy, tmp_path):
+    (queries, docs), _ = toy
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = dense.retrieve_dense(queries, docs, batch_queries=4, cell_docs=7)
+    assert ranked(found) == ranked(dense.retrieve_dense(queries, docs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan")].count("FileScan parquet") == 1
+
+
+def test_repeated_ids_fill_no_cell(spark):
+    docs = spark.createDataFrame([("same", float(i)) for i in range(500)], "docno string, x double")
+    queries = spark.createDataFrame([("q",), ("q",)], "qid string")
+
+    def scorer():
+        return lambda asked: lambda part: np.tile(part["x"].to_numpy(), (len(asked), 1))
+
+    got = exhaustive_top_k(queries, docs, scorer, k=4, cell_docs=50).orderBy("rank").collect()
+    assert [r["score"] for r in got] == [499.0, 499.0, 498.0, 498.0]
+
+
 def test_small_blocks_give_one_frame_with_the_same(toy, monkeypatch):
     from rankbench.operators import exhaustive
 
@@ -101,10 +123,12 @@ def test_model_loads_once_per_task(spark, tmp_path):
 
     topics = spark.createDataFrame([(f"q{i}", "a") for i in range(300)], "qid string, query string")
     corpus = spark.createDataFrame([(f"d{i}", "a" * i) for i in range(200)], "docno string, text string")
-    pairs.retrieve_pairs_with(topics, corpus.repartition(3), load, k=1).count()
+    # 15 blocks meet 8 cells in at most 8 tasks
+    pairs.retrieve_pairs_with(topics, corpus, load, k=1, batch_queries=20, cell_docs=25).count()
     import os
 
-    assert len(os.listdir(loads)) == 3
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 1 <= len(os.listdir(loads)) <= tasks
 
 
 def test_missing_vectors_score_null_and_come_last(spark):
