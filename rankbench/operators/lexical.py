@@ -13,18 +13,26 @@ from rankbench.operators.ranking import TOPK, rounded, top_k
 BROADCAST_TERMS = 500_000
 
 
-def query_terms(topics: DataFrame, n_max: int = 1, lower: bool = True) -> DataFrame:
+def _cut(n_max: int, lower: bool, pretokenised: bool) -> Column:
+    if pretokenised:
+        return tx.split_on_space(F.col("query"))
+    return tx.terms(F.col("query"), n_max, lower)
+
+
+def query_terms(
+    topics: DataFrame, n_max: int = 1, lower: bool = True, pretokenised: bool = False
+) -> DataFrame:
     """qid, term and how often the query has it."""
     return (
-        topics.select("qid", F.explode(tx.terms(F.col("query"), n_max, lower)).alias("term"))
+        topics.select("qid", F.explode(_cut(n_max, lower, pretokenised)).alias("term"))
         .groupBy("qid", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
 
-def query_term_rows(topics: DataFrame, n_max: int = 1) -> int:
+def query_term_rows(topics: DataFrame, n_max: int = 1, pretokenised: bool = False) -> int:
     """Upper bound of the rows of :func:`query_terms`; runs a job without shuffle."""
-    found = topics.agg(F.sum(F.size(tx.terms(F.col("query"), n_max)))).first()[0]
+    found = topics.agg(F.sum(F.size(_cut(n_max, True, pretokenised)))).first()[0]
     return found or 0
 
 
@@ -77,35 +85,81 @@ def retrieve(
     weights=None,
     k: int = TOPK,
     broadcast_rows: int = BROADCAST_TERMS,
+    pretokenised: bool = False,
 ) -> DataFrame:
     """Best ``k`` documents per query: qid, docno, score, rank.
 
-    With a bounded topic set the weighted query terms are broadcast: postings
-    are read once, scores are summed inside the docno buckets without a
-    shuffle, and only ``k`` rows per query and task travel.  A larger topic set
-    is joined by term, hot terms spread over shards.  Runs one count of the
-    query terms to choose.
+    :func:`retrieve_many` with one weighting.
+    """
+    found = retrieve_many(
+        topics, index, {"run": weights or bm25_weights()}, k, broadcast_rows, pretokenised
+    )
+    return found.drop("system")
+
+
+def retrieve_many(
+    topics: DataFrame,
+    index: LexicalIndex,
+    systems: dict,
+    k: int = TOPK,
+    broadcast_rows: int = BROADCAST_TERMS,
+    pretokenised: bool = False,
+) -> DataFrame:
+    """Best ``k`` documents per system and query: system, qid, docno, score, rank.
+
+    ``systems`` has the weights of each by name.  Postings are matched once and
+    scored under all of them.  With a bounded topic set the weighted query terms
+    are broadcast: postings are read once, scores are summed inside the docno
+    buckets without a shuffle, and only ``k`` rows per system, query and task
+    travel.  A larger topic set is joined by term, hot terms spread over shards.
+    Queries that are ``pretokenised`` are cut at white space only.  Runs one
+    count of the query terms to choose.
     """
-    query_side, document_side = weights or bm25_weights()
-    wanted = query_terms(topics, index.n_max)
-    small = query_term_rows(topics, index.n_max) <= broadcast_rows
+    small = query_term_rows(topics, index.n_max, pretokenised) <= broadcast_rows
+    weighed = weighed_terms(topics, index, systems, small, pretokenised)
     if small:
-        weighed = index.lexicon.join(F.broadcast(wanted), "term")
+        matched = index.postings.join(F.broadcast(weighed), "term")
     else:
-        weighed = lookup_join(
-            wanted, index.lexicon, "term", hot_keys(index.lexicon, "term", "df")
-        )
-    n_docs = index.stats.select("n_docs").scalar()
+        matched = _match_sharded(index, weighed)
     avgdl = index.stats.select("avgdl").scalar()
-    weighed = weighed.select("qid", "term", query_side(n_docs).alias("weight"))
+    sums = [
+        rounded(F.sum(F.col(f"weight_{i}") * document_side(avgdl))).alias(f"score_{i}")
+        for i, (_, document_side) in enumerate(systems.values())
+    ]
+    scored = matched.groupBy("qid", "docno").agg(*sums)
+    return top_k(by_system(scored, systems), k, ("system", "qid"))
+
+
+def by_system(scored: DataFrame, systems: dict) -> DataFrame:
+    """One row (system, qid, docno, score) for each of the columns score_0, score_1 and on."""
+    each = F.array(
+        *[
+            F.struct(F.lit(name).alias("system"), F.col(f"score_{i}").alias("score"))
+            for i, name in enumerate(systems)
+        ]
+    )
+    return scored.select("qid", "docno", F.inline(each))
+
+
+def weighed_terms(
+    topics: DataFrame, index: LexicalIndex, systems: dict, small: bool, pretokenised: bool = False
+) -> DataFrame:
+    """qid, term and the query-side weight of each system, weight_0, weight_1 and on.
+
+    ``small`` says that the query terms may be broadcast.
+    """
+    wanted = query_terms(topics, index.n_max, pretokenised=pretokenised)
     if small:
-        matched = index.postings.join(F.broadcast(weighed), "term")
+        known = index.lexicon.join(F.broadcast(wanted), "term")
     else:
-        matched = _match_sharded(index, weighed)
-    scored = matched.groupBy("qid", "docno").agg(
-        rounded(F.sum(F.col("weight") * document_side(avgdl))).alias("score")
+        known = lookup_join(
+            wanted, index.lexicon, "term", hot_keys(index.lexicon, "term", "df")
+        )
+    n_docs = index.stats.select("n_docs").scalar()
+    return known.select(
+        "qid", "term",
+        *[side(n_docs).alias(f"weight_{i}") for i, (side, _) in enumerate(systems.values())],
     )
-    return top_k(scored, k)
 
 
 def _match_sharded(index: LexicalIndex, weighed: DataFrame) -> DataFrame:

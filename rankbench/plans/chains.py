@@ -34,6 +34,11 @@ def keep_raw_query(topics: DataFrame, n_max: int = 1) -> DataFrame:
     )
 
 
+def raw_query(topics: DataFrame) -> DataFrame:
+    """The raw query back in ``query``."""
+    return topics.select("qid", F.col("query_raw").alias("query"))
+
+
 def with_query(topics: DataFrame) -> Step:
     """Puts the raw query text beside each run row."""
     return lambda run: run.join(topics.select("qid", "query"), "qid")
@@ -89,6 +94,18 @@ def bm25_pair(
     )
 
 
+def bm25_pair_pretokenised(
+    topics, index, scorer=None, k: int = TOPK, text_source: str = "text_raw"
+) -> DataFrame:
+    """Tokenised queries to BM25, the raw ones beside them to the pair scorer."""
+    both = keep_raw_query(topics, index.n_max)
+    return chain(
+        lexical.retrieve(both, index, k=k, pretokenised=True),
+        checkpointed,
+        rerank_pair(raw_query(both), with_index_text(index, text_source), scorer),
+    )
+
+
 def dense_pair(topics, corpus, topic_vectors, vectors, scorer=None, k: int = TOPK) -> DataFrame:
     """Cosine candidates, then the pair scorer on the corpus text."""
     return chain(
@@ -109,15 +126,15 @@ def run_matrix(
 ) -> DataFrame:
     """All systems over one topic set: system, qid, docno, rank, score.
 
-    The first-stage runs feed the rerankers too, so they are checkpointed.
-    Runs jobs.
+    The postings of each index are matched once for all weightings over it.  The
+    first-stage runs feed the rerankers too, so they are checkpointed.  Runs jobs.
     """
-    bm25 = checkpointed(lexical.retrieve(topics, index, k=k))
+    weightings = {"bm25": lexical.bm25_weights(), "tfidf": lexical.tfidf_weights()}
+    terms = checkpointed(lexical.retrieve_many(topics, index, weightings, k=k))
+    bm25 = terms.where(F.col("system") == "bm25").drop("system")
     cosine = checkpointed(dense.retrieve_dense(topic_vectors, vectors, k))
     runs = {
-        "bm25": bm25,
         "bm25_ng2": lexical.retrieve(topics, bigram_index, k=k),
-        "tfidf": lexical.retrieve(topics, index, lexical.tfidf_weights(), k=k),
         "dense": cosine,
         "pair": pairs.retrieve_pairs(topics, corpus, k),
         "bm25_dense": chain(bm25, rerank_dense(topic_vectors, vectors)),
@@ -125,5 +142,7 @@ def run_matrix(
         "dense_pair": chain(cosine, rerank_pair(topics, with_corpus_text(corpus))),
     }
     return reduce(
-        lambda a, b: a.unionByName(b), [as_run(run, name) for name, run in runs.items()]
+        lambda a, b: a.unionByName(b),
+        [as_run(run, name) for name, run in runs.items()],
+        terms.select("system", "qid", "docno", "rank", "score"),
     )

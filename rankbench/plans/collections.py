@@ -9,8 +9,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankbench.operators import dense, lexicon_index
+from rankbench.operators import dense, lexicon_index, pruned
 from rankbench.operators.lexicon_index import LexicalIndex
+from rankbench.operators.pruned import ImpactIndex
 from rankbench.plans import views
 from rankbench.session import fresh_path, spread
 
@@ -47,6 +48,10 @@ class Collection:
     def bigram_index(self) -> LexicalIndex:
         return self.write_index(2)
 
+    @cached_property
+    def impacts(self) -> ImpactIndex:
+        return pruned.write_impacts(self.index, fresh_path(self.spark, f"{self.name}-impacts"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         return dense.write_vectors(

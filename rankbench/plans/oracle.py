@@ -481,6 +481,17 @@ cut as (
             select qid, 'https://archive.example.org/collection/volume/document/' || docno as docno,
                    score, rank from reranked"""),
         "retrieve_bm25": with_(*bench_index, bm25(), select=run + "bm25"),
+        "retrieve_bm25_pruned": with_(*bench_index, bm25(), select=run + "bm25"),
+        "index_impacts": with_(*bench_index, """
+ranked as (
+  select term, docno, impact,
+         row_number() over (partition by term order by impact desc, docno) as place
+  from (select term, docno,
+               tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl)) as impact
+        from post, st))""", select="""
+select term, cast(count(*) as int) as n, round(max(impact), 6) as top,
+       string_agg(docno, ' ' order by place) as docnos
+from ranked where place <= 128 group by term"""),
         "retrieve_bm25_ng2": with_(BENCH, index2, bm25(s="2"), select=run + "bm25"),
         "retrieve_tfidf": with_(*bench_index, TFIDF, select=run + "tfidf"),
         "retrieve_dense": with_(*class_dense, select=run + "dense"),
@@ -523,6 +534,8 @@ sets as (
             *bench_vectors, bm25(), rerank_cosine("reranked", "bm25"), select=run + "reranked"),
         "rerank_bm25_pair": with_(
             *bench_index, bm25(), rerank_pair("reranked", "bm25"), select=run + "reranked"),
+        "rerank_bm25_pair_pretokenised": with_(
+            BENCH, index2, bm25(s="2"), rerank_pair("bm25_pair", "bm25"), select=run + "bm25_pair"),
         "rerank_dense_pair": with_(
             *bench_vectors, DENSE, rerank_pair("reranked", "dense"), select=run + "reranked"),
         "run_matrix": with_(*matrix, select="select * from runs"),
@@ -539,6 +552,8 @@ sets as (
 qrels as (select cast(label as varchar) as qid, docno, 1 as label from vecs)""",
             runs(dense="dense"), METRICS, select=LONG_METRICS),
         "eval_all_runs": with_(*lexical_runs, CHAT_QRELS, METRICS, select=LONG_METRICS),
+        "eval_single_run": with_(*lexical_runs, CHAT_QRELS, METRICS, select=(
+            f"select * from ({LONG_METRICS}) where system = 'tfidf'")),
         "eval_missing_queries": with_(BENCH, BENCH_QRELS, index, bm25(), select="""
             select qid, count(*) filter (where label > 0) as n_relevant from qrels
             where qid not in (select qid from bm25 where score > 100) group by qid"""),

@@ -1,7 +1,6 @@
 """The registered queries: one per operator, over whole tables."""
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from rankbench.operators import (
     numbering,
     pairs,
     prepare,
+    pruned,
     shift,
 )
 from rankbench.operators.ranking import TOPK, as_run, rounded, top_k
@@ -119,12 +119,10 @@ def io_run_roundtrip(spark, sf_dir):
 
 
 def _lexical_runs(c: Collection) -> DataFrame:
-    runs = [
-        as_run(lexical.retrieve(c.topics, c.index), "bm25"),
-        as_run(lexical.retrieve(c.topics, c.bigram_index), "bm25_ng2"),
-        as_run(lexical.retrieve(c.topics, c.index, lexical.tfidf_weights()), "tfidf"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), runs)
+    both = {"bm25": lexical.bm25_weights(), "tfidf": lexical.tfidf_weights()}
+    return lexical.retrieve_many(c.topics, c.index, both).unionByName(
+        as_run(lexical.retrieve(c.topics, c.bigram_index), "bm25_ng2")
+    )
 
 
 @query
@@ -328,6 +326,22 @@ def retrieve_bm25(spark, sf_dir):
     return lexical.retrieve(c.topics, c.index)
 
 
+@query
+def index_impacts(spark, sf_dir):
+    """The best block of every term in the layout by term."""
+    found = bench(spark, sf_dir).impacts.blocks.where("block = 0")
+    return found.select(
+        "term", F.size("docnos").alias("n"), rounded(F.col("top")).alias("top"),
+        F.array_join("docnos", " ").alias("docnos"),
+    )
+
+
+@query
+def retrieve_bm25_pruned(spark, sf_dir):
+    c = bench(spark, sf_dir)
+    return pruned.retrieve_pruned(c.topics, c.impacts)
+
+
 @query
 def retrieve_bm25_ng2(spark, sf_dir):
     c = bench(spark, sf_dir)
@@ -510,6 +524,12 @@ def rerank_bm25_pair(spark, sf_dir):
     return chains.bm25_pair(c.topics, c.index)
 
 
+@query
+def rerank_bm25_pair_pretokenised(spark, sf_dir):
+    c = bench(spark, sf_dir)
+    return chains.bm25_pair_pretokenised(c.topics, c.bigram_index)
+
+
 @query
 def rerank_dense_pair(spark, sf_dir):
     c = bench(spark, sf_dir)
@@ -581,6 +601,18 @@ def eval_all_runs(spark, sf_dir):
     return files.read_metrics(spark, metrics, evaluation.metric_names())
 
 
+@query
+def eval_single_run(spark, sf_dir):
+    """One run out of a folder of runs, files in and files out."""
+    c = chat(spark, sf_dir)
+    runs, baseline, metrics = (fresh_path(spark, p) for p in ("runs", "baseline", "metrics"))
+    files.write_runs(_lexical_runs(c), runs)
+    files.write_qrels(c.qrels, f"{baseline}/{steps.QRELS}")
+    return steps.evaluate_files(
+        spark, baseline, run_path=f"{runs}/system=tfidf", output_path=metrics
+    )
+
+
 @query
 def eval_missing_queries(spark, sf_dir):
     c = bench(spark, sf_dir)

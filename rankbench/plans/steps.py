@@ -1,9 +1,9 @@
 """Steps from one folder of files to another."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from rankbench import schemas
-from rankbench.operators import prepare
+from rankbench.operators import evaluation, prepare
 from rankbench.sources import files
 
 # Names inside a baseline folder.
@@ -29,3 +29,30 @@ def pretokenise_folder(spark: SparkSession, source: str, target: str, n_max: int
     )
     files.write_csv(prepare.pretokenised(topics, "qid", "query", n_max), f"{target}/{TOPICS}")
     files.write_qrels(files.read_qrels(spark, f"{source}/{QRELS}"), f"{target}/{QRELS}")
+
+
+def evaluate_files(
+    spark: SparkSession,
+    baseline: str,
+    run_dir: str | None = None,
+    output_dir: str | None = None,
+    run_path: str | None = None,
+    output_path: str | None = None,
+) -> DataFrame:
+    """Metrics of a folder of runs, or of one run, against a baseline folder's judgments.
+
+    Give ``run_dir`` and ``output_dir``, or ``run_path`` and ``output_path``; with
+    neither pair whole that is a ValueError, and a whole ``run_dir`` pair goes
+    first.  Metrics are written, one folder a system, and returned as system,
+    metric, value.  Runs jobs.
+    """
+    if run_dir and output_dir:
+        source, target = run_dir, output_dir
+    elif run_path and output_path:
+        source, target = run_path, output_path
+    else:
+        raise ValueError("give a folder of runs and one for metrics, or a run and where its metrics go")
+    qrels = files.read_qrels(spark, f"{baseline}/{QRELS}")
+    scored = evaluation.evaluate(files.read_runs(spark, source), qrels)
+    files.write_metrics(evaluation.comparison(scored), target)
+    return files.read_metrics(spark, target, evaluation.metric_names())

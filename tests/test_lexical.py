@@ -165,3 +165,22 @@ def test_ids_and_terms_are_whole(spark):
         found = chains.bm25_pair(topics, index).collect()
         assert {r["docno"] for r in found} == {"p" * 60 + "1", "p" * 60 + "2"}
         assert index.docstore.where("docno != 'q'").first()["text_tok"] == f"same {long}"
+
+
+def test_raw_query_goes_to_the_reranker_only(spark):
+    """The tokenised query retrieves; the scorer sees the query as it was written."""
+    corpus = spark.createDataFrame([("d1", "big cat"), ("d2", "cat big")], "docno string, text string")
+    index = lexicon_index.write_index(corpus, fresh_path(spark, "raw-query"), 2)
+    topics = spark.createDataFrame([("q", "Big CAT!")], "qid string, query string")
+    both = chains.keep_raw_query(topics, 2).first()
+    assert (both["query"], both["query_raw"]) == ("big cat big_cat", "Big CAT!")
+    seen = []
+
+    def scorer(pairs):
+        seen.append([r["query"] for r in pairs.select("query").distinct().collect()])
+        return pairs.withColumn("score", F.length("query").cast("double"))
+
+    got = chains.bm25_pair_pretokenised(topics, index, scorer).collect()
+    assert seen == [["Big CAT!"]] and {r["score"] for r in got} == {8.0}
+    found = lexical.retrieve(chains.keep_raw_query(topics, 2), index, pretokenised=True)
+    assert found.exceptAll(lexical.retrieve(topics, index)).isEmpty() and found.count() == 2

@@ -74,3 +74,31 @@ def test_graded_labels_use_the_ideal_of_all_judgments(spark):
     got = values(spark, run, [("q", "a", 1), ("q", "b", 2)])
     ideal = 2 + 1 / math.log2(3)
     assert got["s", "nDCG@5"] == pytest.approx((1 + 2 / math.log2(3)) / ideal, abs=1e-6)
+
+
+def test_files_of_one_run_or_of_a_folder(spark, tmp_path):
+    from rankbench.operators import evaluation
+    from rankbench.plans import steps
+    from rankbench.sources import files
+
+    runs = spark.createDataFrame(
+        [(s, "q1", d, r, 9.0 - r) for s in ("a", "b") for r, d in enumerate(["x", "y"] if s == "a" else ["y", "x"], 1)],
+        "system string, qid string, docno string, rank int, score double",
+    )
+    qrels = spark.createDataFrame([("q1", "0", "x", 1)], "qid string, iter string, docno string, label int")
+    base, folder = str(tmp_path / "base"), str(tmp_path / "runs")
+    files.write_runs(runs, folder)
+    files.write_qrels(qrels, f"{base}/{steps.QRELS}")
+    expected = {tuple(r) for r in evaluation.evaluate(runs, qrels).collect()}
+    every = steps.evaluate_files(spark, base, run_dir=folder, output_dir=str(tmp_path / "all"))
+    assert {tuple(r) for r in every.collect()} == expected
+    one = steps.evaluate_files(
+        spark, base, run_path=f"{folder}/system=b", output_path=str(tmp_path / "one")
+    )
+    assert {tuple(r) for r in one.collect()} == {r for r in expected if r[0] == "b"}
+    for given in (
+        {}, {"run_dir": folder}, {"run_path": folder}, {"output_dir": "o"},
+        {"run_dir": folder, "output_path": "o"}, {"run_path": folder, "output_dir": "o"},
+    ):
+        with pytest.raises(ValueError):
+            steps.evaluate_files(spark, base, **given)
