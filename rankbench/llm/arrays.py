@@ -4,8 +4,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def text_runs(texts: pa.Array, most_chars: int = 1_000_000) -> Iterator[list[str]]:
@@ -90,15 +88,3 @@ def pairs_apart(keys: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         if not len(i):
             return
         yield i, i + step
-
-
-# Rows up to this many are broadcast: some 40 MB where a row has a few numbers.
-SHORT_ROWS = 500_000
-
-
-def broadcast_if_short(table: DataFrame, most: int = SHORT_ROWS) -> DataFrame:
-    """A materialised table of a few numbers a row, marked for broadcast if it is short.
-
-    Counts the table; a longer one is joined by the shuffle that Spark picks.
-    """
-    return F.broadcast(table) if table.count() <= most else table

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankbench.functions.binding import bound
+from rankbench.llm.rows import row_fields, whole_row
 from rankbench.llm.sampling import first_by_hash
 from rankbench.session import checkpointed
 
@@ -281,10 +282,13 @@ def masked(docs: DataFrame, ratio: list[list[float]] | None) -> DataFrame:
 
     A column ``n_chars``, where there is one, is counted anew for changed texts.
     """
-    scanned = scan(docs, ratio)
-    new = {"text": mask(F.col("text"), F.col("_spans"))}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        marked = F.length(mask(F.col("text"), F.col("_spans"))).cast(kind)
-        new["n_chars"] = F.when(F.size("_spans") > 0, marked).otherwise(F.col("n_chars"))
-    return scanned.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("text", whole_row(docs).alias("row"))
+    scanned = scan(rows, ratio)
+    new = mask(F.col("text"), F.col("_spans"))
+    fields = dict(zip(docs.columns, row_fields(docs)))
+    fields["text"] = new.alias("text")
+    if "n_chars" in fields:
+        counted = F.length(new).cast(docs.schema["n_chars"].dataType)
+        changed = F.size("_spans") > 0
+        fields["n_chars"] = F.when(changed, counted).otherwise(F.col("row")["n_chars"]).alias("n_chars")
+    return scanned.select(*fields.values())

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from rankbench.llm.arrays import pairs_apart, sorted_groups
 from rankbench.llm.graph import components, forest
+from rankbench.llm.rows import row_fields, whole_row
 from rankbench.session import checkpointed
 
 SHINGLE_WORDS = 3
@@ -185,35 +186,36 @@ def deduplicated(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MA
     id stands on several of its rows, one with the least fingerprint stays; rows
     of that id in other components are judged there.
     """
-    found = checkpointed(_grouped(docs, width, max_bits))
+    # whole rows in one column, so that none of their names meets one of this function's
+    rows = docs.select("doc_id", "text", whole_row(docs).alias("row"))
+    found = checkpointed(_grouped(rows, width, max_bits))
     best = (
         found.where("doc_id is not null and doc_id = component_id")
         .groupBy("root")
-        .agg(F.min("component_id").alias("doc_id"), F.min("fp").alias("_fp"))
+        .agg(F.min("component_id").alias("doc_id"), F.min("fp").alias("best"))
     )
-    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    best = checkpointed(best.join(rows, "doc_id").select("doc_id", "_fp", "n"))
-    once = docs.join(best.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    # only rows of repeated ids need their fingerprints again
-    again = (
-        docs.join(best.where("n > 1").select("doc_id"), "doc_id", "left_semi")
-        .withColumn("_fp", fingerprint("text", width))
-        .join(best.where("n > 1").select("doc_id", "_fp"), ["doc_id", "_fp"], "left_semi")
-        .dropDuplicates(["doc_id", "_fp"])
-    )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = once.select(*columns).unionByName(again.select(*columns))
-    if docs.where("doc_id is null").isEmpty():
-        return kept
-    # components without any id: their rows meet by the root of their fingerprints
-    nameless = found.where("component_id is null").select("fp").distinct()
-    roots = components(linked_fingerprints(nameless, max_bits))
-    unnamed = (
-        docs.where("doc_id is null")
-        .withColumn("_fp", fingerprint("text", width))
-        .join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_semi")
-        .join(roots, F.col("_fp") == F.col("node"), "left")
-        .withColumn("_root", F.coalesce("root", "_fp"))
-        .dropDuplicates(["_root"])
-    )
-    return kept.unionByName(unnamed.select(*columns))
+    counts = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    best = checkpointed(best.join(counts, "doc_id").select("doc_id", "best", "n"))
+    kept = rows.join(best.where("n = 1").select("doc_id"), "doc_id", "left_semi").select("row")
+    repeated = best.where("n > 1").select("doc_id", "best")
+    if not repeated.isEmpty():
+        # only rows of repeated ids need their fingerprints again; they are set apart
+        # first, for Spark would fingerprint every row before the join
+        again = checkpointed(rows.join(repeated.select("doc_id"), "doc_id", "left_semi"))
+        again = again.withColumn("best", fingerprint("text", width))
+        again = again.join(repeated, ["doc_id", "best"], "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["doc_id", "best"]).select("row"))
+    unnamed = rows.where("doc_id is null")
+    if not unnamed.isEmpty():
+        # components without any id: their rows meet by the root of their fingerprints
+        nameless = found.where("component_id is null").select("fp").distinct()
+        roots = components(linked_fingerprints(nameless, max_bits))
+        unnamed = (
+            unnamed.withColumn("fp", fingerprint("text", width))
+            .join(nameless, "fp", "left_semi")
+            .join(roots, F.col("fp") == F.col("node"), "left")
+            .withColumn("root", F.coalesce("root", "fp"))
+            .dropDuplicates(["root"])
+        )
+        kept = kept.unionByName(unnamed.select("row"))
+    return kept.select(*row_fields(docs))

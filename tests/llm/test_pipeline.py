@@ -69,13 +69,46 @@ def test_stages_in_turn(spark, sf_dir, tmp_path):
 ]])
 def test_edges(spark, sf_dir, tmp_path, rows):
     docs = written(spark.createDataFrame(rows, SCHEMA), tmp_path, "in")
-    for k, (_, stage) in enumerate(pipeline.STAGES[1:]):
+    for k, (_, stage) in enumerate(pipeline.STAGES):
         columns = docs.columns
         docs = written(stage(spark, docs, sf_dir), tmp_path, f"s{k}")
-        assert k == 3 or docs.columns == columns
+        assert k == 4 or docs.columns == columns
     assert docs.count() == 0 if not rows else docs.count() >= 1
 
 
+def test_columns_with_any_name(spark, sf_dir, tmp_path):
+    """Names that the stages use themselves keep their values."""
+    names = [
+        "_id", "_fp", "fp", "node", "root", "_base", "_spans", "_candidates", "_score", "score", "id",
+        "_copies", "copies", "_copy", "col", "row", "best", "n", "taken", "size", "a.b", "component_id",
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    own = F.col("doc_id").cast("string")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}:"), own) for n in names})
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))  # repeated ids
+    docs = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = written(docs, tmp_path, "in")
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        columns = docs.columns
+        docs = written(stage(spark, docs, sf_dir), tmp_path, f"s{k}")
+        assert docs.columns == columns
+        for r in docs.where("doc_id is not null").collect():
+            assert all(r[n] == f"{n}:{r['doc_id']}" for n in names)
+    assert docs.count() and pipeline.pack_sequences(spark, docs, sf_dir).count() >= docs.count()
+
+
+def test_near_duplicates_fingerprint_a_text_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = pipeline.drop_near_duplicates(spark, docs, sf_dir)._jdf.queryExecution().executedPlan()
+    assert "ArrowEvalPython" not in plan.toString()  # the one before it is checkpointed
+
+
+def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_run_packs_every_document_left(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir).collect()
     assert rows and all(r["length"] <= 4096 for r in rows)
