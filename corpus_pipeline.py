@@ -9,21 +9,20 @@ from pyspark.sql import functions as F
 
 from rankbench.llm import mixing, packing, secrets, simhash, toxicity
 from rankbench.llm.queries import toxicity_model, word_bpe_path
+from rankbench.llm.rows import row_fields, whole_row
 from rankbench.session import fresh_path
 
 # Documents at or above this probability of being toxic are rejected.
 TOXIC_SCORE = 0.3
 
 
-def columns_of(docs):
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the toxicity model rejects go; all others stay as they are."""
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("_score", toxicity.score(F.col("text"), model))
-    return scored.where(F.col("_score") < TOXIC_SCORE).select(*columns_of(docs))
+    scored = docs.select(
+        whole_row(docs).alias("row"), toxicity.score(F.col("text"), model).alias("score")
+    )
+    return scored.where(F.col("score") < TOXIC_SCORE).select(*row_fields(docs))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
@@ -45,19 +44,20 @@ def mix_sources(spark, docs, sf_dir):
     once.
     """
     mixed = mixing.mix(docs).groupBy("doc_id").agg(
-        F.sum("taken").alias("_taken"), F.sum("size").alias("_size")
+        F.sum("taken").alias("taken"), F.sum("size").alias("size")
     )
-    share = F.col("_taken") / F.nullif(F.col("_size"), F.lit(0))
+    share = F.col("taken") / F.nullif(F.col("size"), F.lit(0))
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(share) + (draw < share - F.floor(share)).cast("long")
     numbered = mixed.select(
-        F.col("doc_id").alias("_id"), F.coalesce(copies, F.lit(1)).cast("int").alias("_copies")
+        F.col("doc_id").alias("id"), F.coalesce(copies, F.lit(1)).cast("int").alias("copies")
     )
+    rows = docs.select("doc_id", whole_row(docs).alias("row"))
     return (
-        docs.join(numbered, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*columns_of(docs))
+        rows.join(numbered, F.col("doc_id").eqNullSafe(F.col("id")))
+        .where("copies > 0")
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select(*row_fields(docs))
     )
 
 
