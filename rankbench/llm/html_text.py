@@ -20,6 +20,7 @@ they are.
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 # Element names by their part in a page.
 DROPPED = frozenset(
     "script style noscript template nav header footer aside form fieldset button select option "
-    "textarea input label iframe object embed applet svg math canvas audio video map menu dialog "
-    "head title meta link base frameset noframes".split()
+    "textarea input label iframe object embed applet svg canvas audio video map menu dialog "
+    "head title meta link base frameset noframes annotation annotation-xml".split()
 )
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame".split())
@@ -52,28 +53,33 @@ ENDED_BY = {
     "tbody": ("thead", "tbody", "tr", "td", "th"),
 }
 ENDS_P = BLOCKS - {"html", "body"}
-# Words of class, id, role and label that name what is not main text.
+FLOW_BOUNDS = frozenset("td th table li div article section blockquote".split())
+CELLS = frozenset(name for ended in ENDED_BY.values() for name in ended)
+CELL_BOUNDS = frozenset("ul ol table dl".split())
+# Words of class, id and label that name what is never main text ...
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|menu\w*|breadcrumbs?|"
     r"nav(?:s|i|bars?|igations?|igator|links?|lists?|menus?|items?|box|boxes|pills?|tabs?|wrap|wrapper|container|main|top|left|right)?|"
-    r"side-?bar\w*|rail|foot(?:er)?\w*|head(?:er)?|masthead|top-?bar|comments?|comment-?\w+|disqus|respond|responses?|"
+    r"side-?bar\w*|rail|foot(?:er)?\w*|masthead|top-?bar|comments?|comment-?\w+|disqus|respond|responses?|"
     r"replies|reply|cookies?|consent|gdpr|notice|alert|popup|pop-?over|modal|overlay|newsletter|subscri\w+|"
-    r"sign-?up|log-?in|share|sharing|social|related|recommend\w*|outbrain|taboola|widget\w*|pagination|pager|"
-    r"paging|tags?|tool-?bar|skip(?:-?\w+)?|hidden|hide|screen-reader\w*|sr-only|legal|copyright|disclaimer|"
-    r"navigation|complementary|contentinfo|search|dialog|alertdialog)(?:$|[\s_-])",
+    r"sign-?up|log-?in|share-\w+|share_\w+|sharing|related|recommend\w*|outbrain|taboola|pagination|pager|"
+    r"paging|tool-?bar|screen-reader\w*|sr-only|navigation|complementary|contentinfo|dialog|alertdialog)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:hidden|hide|skip(?:[_-](?:to|nav|navigation|link|links|content|main)\S*)?)(?:$|\s)",
+    re.IGNORECASE,
+)
+# ... and of what may be either: inside an article or main its text decides, elsewhere
+# it goes unless a class of its own says that the text is in there.
+WEAK = re.compile(
+    r"(?:^|[\s_-])(?:head(?:er)?|tags?|legal|copyright|disclaimer|search|social|share|widget\w*)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-# ... unless one of these says that the text is in there.
 WANTED = re.compile(
-    r"(?:^|[\s_-])(?:article|content|main|body|entry|post|story|text)(?:$|[\s_-])", re.IGNORECASE
+    r"(?:^|\s)(?:article|content|main|body|entry|post|story|text)(?:$|\s)", re.IGNORECASE
 )
 LIKELY = re.compile(r"article|content|main|body|entry|post|story|text|blog", re.IGNORECASE)
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)",
-    re.DOTALL,
-)
+_OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_ENDING = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 # A paragraph below this many characters gives no points; each of these many gives
@@ -92,14 +98,23 @@ PROSE_CHARS = 80
 
 
 class Node:
-    """Element with children in order: nodes and strings."""
+    """Element with children in order: nodes and strings.
+
+    ``flow`` and ``cell`` are the nearest of the node and its ancestors that an
+    opening tag has to look at: paragraphs and what bounds them, and list items,
+    cells and what bounds those.  ``inside`` tells whether it stands in an article
+    or main.
+    """
 
-    __slots__ = ("name", "parent", "children", "unwanted", "bonus", "score")
+    __slots__ = ("name", "parent", "children", "weak", "bonus", "score", "flow", "cell", "inside")
 
-    def __init__(self, name, parent=None, unwanted=False, bonus=0.0):
-        self.name, self.parent, self.unwanted, self.bonus = name, parent, unwanted, bonus
+    def __init__(self, name, parent=None, weak=False, bonus=0.0):
+        self.name, self.parent, self.weak, self.bonus = name, parent, weak, bonus
         self.children: list = []
         self.score = 0.0
+        self.flow = self if name == "p" or name in FLOW_BOUNDS else parent and parent.flow
+        self.cell = self if name in CELLS or name in CELL_BOUNDS else parent and parent.cell
+        self.inside = bool(parent) and (parent.inside or parent.name in ("article", "main"))
 
 
 def _attributes(written: str) -> dict[str, str]:
@@ -108,27 +123,67 @@ def _attributes(written: str) -> dict[str, str]:
     }
 
 
-def _judged(name: str, written: str) -> tuple[bool, float]:
-    """(unwanted, bonus) of an element from its attributes."""
+def _judged(name: str, written: str) -> tuple[str, float]:
+    """(judgment, bonus) of an element from its attributes; judgment is out, weak or empty."""
     bonus = {"article": 25.0, "main": 10.0}.get(name, 0.0)
     if not written or written.isspace():
-        return False, bonus
+        return "", bonus
     given = _attributes(written)
     style = given.get("style", "").replace(" ", "").lower()
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True, bonus
+        return "out", bonus
     if given.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"):
-        return True, bonus
+        return "out", bonus
     words = " ".join(given.get(k, "") for k in ("class", "id", "aria-label"))
     words = re.sub(r"\b(?:has|with|no|without)-[\w-]+", "", words)  # says what is beside it
     if not words.strip():
-        return False, bonus
+        return "", bonus
     if LIKELY.search(words):
         bonus += 15.0
-    unwanted = bool(UNWANTED.search(words)) and name not in ("html", "body", "article", "main")
-    if unwanted and WANTED.search(words) and not re.search(r"comment|foot|side|nav|menu|\bad", words, re.I):
-        unwanted = False
-    return unwanted, bonus
+    if name in ("html", "body", "article", "main"):
+        return "", bonus
+    if UNWANTED.search(words):
+        return "out", bonus
+    return "weak" if WEAK.search(words) and not WANTED.search(words) else "", bonus
+
+
+class _Tags:
+    """Tags of a page in order; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unpaired = {'"': len(page), "'": len(page)}  # from here on there is no such quote
+
+    def after(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag, or None.
+
+        The name is None for comments and declarations.  A tag goes to its ``>``
+        outside quotes; a quote without a second one is a character like any other.
+        """
+        page = self.page
+        opening = _OPENING.search(page, at)
+        if opening is None:
+            return None
+        start, here = opening.span()
+        if opening[2] is None:
+            end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(opening[0], ">")
+            found = page.find(end, here)
+            return start, found + len(end) if found >= 0 else len(page), False, None, ""
+        attributes = here
+        while True:
+            mark = _ENDING.search(page, here)
+            if mark is None:
+                return start, len(page), bool(opening[1]), opening[2].lower(), page[attributes:]
+            here = mark.end()
+            if mark[0] == ">":
+                break
+            if here < self.unpaired[mark[0]]:
+                second = page.find(mark[0], here)
+                if second >= 0:
+                    here = second + 1
+                else:
+                    self.unpaired[mark[0]] = here
+        return start, here, bool(opening[1]), opening[2].lower(), page[attributes : here - 1]
 
 
 def parse(page: str) -> Node:
@@ -136,82 +191,97 @@ def parse(page: str) -> Node:
     root = Node("html")
     here = root
     at = 0
+    tags = _Tags(page)
+    is_open: Counter = Counter(["html"])  # elements from the root to here, by name
     dropped: list[str] = []  # open elements since the one that is dropped
+    inside: Counter = Counter()  # of those, by name
 
     def add(text: str):
         if text and not dropped:
             here.children.append(html.unescape(text))
 
+    def leave(node: Node):
+        """Closes everything up to and with ``node``."""
+        nonlocal here
+        while True:
+            left, here = here, here.parent
+            is_open[left.name] -= 1
+            if left is node:
+                return
+
     while True:
-        tag = _TAG.search(page, at)
+        tag = tags.after(at)
         if tag is None:
             add(page[at:])
             return root
-        add(page[at : tag.start()])
-        at = tag.end()
-        if tag[2] is None:
+        start, end, closing, name, written = tag
+        add(page[at:start])
+        at = end
+        if name is None:
             continue
-        name = tag[2].lower()
-        closing = bool(tag[1])
         if not closing and name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            shut = page.find(">", found.end()) if found else -1
+            at = shut + 1 if shut >= 0 else len(page)
             continue
-        if dropped and _ends_dropped(dropped, here, name, closing):
+        if dropped and _ends_dropped(dropped, inside, is_open, name, closing):
             dropped.clear()
+            inside.clear()
         elif dropped:
             # only the names count, until the dropped element is closed
-            if closing and name in dropped:
-                while dropped.pop() != name:
-                    pass
-            elif not closing and name not in VOID and name != "p" and not tag[3].endswith("/"):
+            if closing and inside[name]:
+                while True:
+                    last = dropped.pop()
+                    inside[last] -= 1
+                    if last == name:
+                        break
+            elif not closing and name not in VOID and name != "p" and not written.endswith("/"):
                 if dropped[-1] in ENDED_BY.get(name, ()) and len(dropped) > 1:
-                    dropped.pop()
+                    inside[dropped.pop()] -= 1
                 if name in DROPPED or name in BLOCKS or name == dropped[0]:
                     dropped.append(name)
+                    inside[name] += 1
             continue
         if closing:
-            above = here
-            while above is not None and above.name != name:
-                above = above.parent
-            if above is not None and above.parent is not None:
-                here = above.parent
+            if is_open[name] > (name == "html"):
+                while here.name != name:
+                    leave(here)
+                leave(here)
             continue
-        if name in ("html", "body") and any(n.name == name for n in _up(here)):
+        if name in ("html", "body") and is_open[name]:
             continue
         # an element that may not stay open
-        if name in ENDS_P:
-            for above in _up(here):
-                if above.name == "p":
-                    here = above.parent
-                    break
-                if above.name in ("td", "th", "table", "li", "div", "article", "section", "blockquote"):
-                    break
-        for above in _up(here):
-            if above.name in ENDED_BY.get(name, ()):
-                here = above.parent
-            elif above.name in ("ul", "ol", "table", "dl") and above.name != name:
-                break
-        unwanted, bonus = _judged(name, tag[3])
+        if name in ENDS_P and here.flow is not None and here.flow.name == "p":
+            leave(here.flow)
+        if name in ENDED_BY:
+            cell = here.cell
+            while cell is not None and cell.name not in CELL_BOUNDS:
+                above = cell.parent
+                if cell.name in ENDED_BY[name]:
+                    leave(cell)
+                cell = above.cell
+        judgment, bonus = _judged(name, written)
         if name in VOID:
-            if name in ("br", "hr", "wbr", "img") and name != "wbr":
+            if name in ("br", "hr", "img"):
                 here.children.append(Node(name, here))
             continue
-        if name in DROPPED or unwanted:
+        if name in DROPPED or judgment == "out":
             # a break in the text stays where the element was
-            here.children.append(Node("gap" if name in BLOCKS or unwanted else "none", here))
-            if not tag[3].endswith("/") or name in BLOCKS:
+            here.children.append(Node("gap" if name in BLOCKS or judgment else "none", here))
+            if not written.endswith("/") or name in BLOCKS:
                 dropped.append(name)
+                inside[name] += 1
             continue
-        node = Node(name, here, unwanted, bonus)
+        node = Node(name, here, judgment == "weak", bonus)
         here.children.append(node)
         here = node
+        is_open[name] += 1
 
 
-def _ends_dropped(dropped: list[str], here: Node, name: str, closing: bool) -> bool:
+def _ends_dropped(dropped: list[str], inside: Counter, is_open: Counter, name: str, closing: bool) -> bool:
     """Whether a tag ends an unclosed dropped element and is read as usual."""
     if closing:
-        return name not in dropped and any(n.name == name for n in _up(here))
+        return not inside[name] and is_open[name] > 0
     if dropped == ["p"]:
         return name in ENDS_P
     return len(dropped) == 1 and dropped[0] in ENDED_BY.get(name, ())
@@ -295,6 +365,7 @@ def _own_text(node: Node) -> str:
 
 def main_nodes(root: Node) -> list[Node]:
     """Best container and what goes with it, in page order."""
+    _without_weak(root)
     sizes, order = _measured(root)
     touched = []
     for node in order:
@@ -319,19 +390,29 @@ def main_nodes(root: Node) -> list[Node]:
     final = {id(n): n.score * (1 - _density(n, sizes)) for n in touched}
     candidates = [n for n in touched if n.name in CONTAINERS] or touched
     best = max(candidates, key=lambda n: final[id(n)])
-    return [_whole(best, final, sizes)]
+    return [_whole(best, final, sizes, _prose_of(order))]
 
 
-def _prose(node: Node, sizes: dict) -> bool:
-    """Whether a node is or holds a paragraph that reads like prose."""
-    stack = [node]
-    while stack:
-        here = stack.pop()
-        text = _own_text(here) if here.name in PARAGRAPHS else ""
-        if _reads(text) and _own_density(here) < LINKED:
-            return True
-        stack.extend(c for c in here.children if isinstance(c, Node))
-    return False
+def _prose_of(order: list[Node]) -> dict[int, bool]:
+    """Whether each node is or holds a paragraph that reads like prose; parents come first."""
+    found: dict[int, bool] = {}
+    for node in reversed(order):
+        holds = any(found[id(c)] for c in node.children if isinstance(c, Node))
+        if not holds and node.name in PARAGRAPHS:
+            holds = _reads(_own_text(node)) and _own_density(node) < LINKED
+        found[id(node)] = holds
+    return found
+
+
+def _without_weak(root: Node) -> None:
+    """Weakly named elements go, but for prose of few links inside an article or main."""
+    sizes, order = _measured(root)
+    if not any(n.weak for n in order):
+        return
+    prose = _prose_of(order)
+    for node in order:
+        if node.weak and not (node.inside and prose[id(node)] and _density(node, sizes) < LINKED):
+            node.name, node.children, node.weak = "gap", [], False
 
 
 def _reads(text: str) -> bool:
@@ -352,7 +433,7 @@ def _own_density(node: Node) -> float:
     return links / text if text else 0.0
 
 
-def _whole(best: Node, final: dict, sizes: dict) -> Node:
+def _whole(best: Node, final: dict, sizes: dict, prose: dict) -> Node:
     """The best container with what belongs to it, a tree without the rest.
 
     Inside an article or main that is all of it but lists of links.  Elsewhere,
@@ -374,8 +455,8 @@ def _whole(best: Node, final: dict, sizes: dict) -> Node:
             return False
         if child.name in ("p", "blockquote", "pre"):
             text = _own_text(child)
-            return _prose(child, sizes) or bool(re.search(r"[.!?]$", text))
-        return (child.name == "article" or not articles) and _prose(child, sizes)
+            return prose[id(child)] or bool(re.search(r"[.!?]$", text))
+        return (child.name == "article" or not articles) and prose[id(child)]
 
     top = sure
     for k in range(sure + 1, 1 if mains else len(path)):

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,70 @@ def test_query_on_the_table(spark, sf_dir):
         row = rows[page["page_id"]]
         assert row["text"] == "\n".join(filter(None, plain))
         assert row["n_chars"] == len(row["text"])
+
+
+
+def in_article(extra: str) -> str:
+    paragraphs = "".join(f"<p>Paragraph {k}: {PROSE}</p>" for k in range(4))
+    return f"<html><body><article><h1>Title</h1>{paragraphs}{extra}<p>The end: {PROSE}</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    "name",
+    "cookie-content newsletter-body sponsored-content related-post promo-text popup-content share-post "
+    "modal-body subscribe-content banner-text alert-body hidden skip-link widget-area tags-links".split(),
+)
+def test_adverts_and_notices_in_an_article_go(name):
+    notice = "<a href=x>Read this too</a>" if name in ("widget-area", "tags-links") else f"<p>Not the article. {PROSE}</p>"
+    text = html_text.extract(in_article(f'<div class="{name}">{notice}</div>'))
+    assert "Not the article" not in text and "Read this too" not in text
+    assert text == html_text.extract(in_article(""))
+
+
+@pytest.mark.parametrize(
+    "name", "tags legal copyright disclaimer search head hidden-gem skip-intro social share".split()
+)
+def test_prose_in_an_article_stays_whatever_its_section_is_called(name):
+    text = html_text.extract(in_article(f'<section class="{name}"><h2>A part</h2><p>Stays here. {PROSE}</p></section>'))
+    assert "A part\nStays here." in text
+    if name in ("hidden-gem", "skip-intro"):
+        return  # names that say nothing
+    # a list of links of that name goes
+    links = "".join(f"<li><a href=/{k}>word {k}</a></li>" for k in range(5))
+    assert "word 3" not in html_text.extract(in_article(f'<div class="{name}"><ul>{links}</ul></div>'))
+
+
+def test_math_stays():
+    page = in_article("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds, as we know.</p>")
+    assert "Energy E=m holds, as we know." in html_text.extract(page)
+
+
+MB = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "kind, page",
+    {
+        "open inline": "<font>" * (MB // 6),
+        "stray closing": "<div>" * (MB // 9) + "</i>" * (MB // 9),
+        "one quote": '<a "' + "<a " * (MB // 3),
+        "one quote of each kind": "<a '" + '<a "' * (MB // 4 - 1) + "'",
+        "attributes without end": "<a " + "x='y=\"" * (MB // 6),
+        "voids under open inline": "<p><object><table><td>" + "<font>" * 80_000 + "<hr>" * 80_000,
+        "script without end": "<script>" + "</script " * (MB // 9),
+        "in a dropped element": "<nav>" + "<div>" * 90_000 + "</i>" * 100_000,
+        "weak names": "<div class=tags>" * 60_000 + "x",
+        "less-than signs": "<" * MB,
+    }.items(),
+)
+def test_time_follows_size(kind, page):
+    """A tenth of the page takes about a tenth of the time: no kind is quadratic."""
+
+    def seconds(text):
+        start = time.process_time()
+        html_text.extract(text)
+        return time.process_time() - start
+
+    small, large = seconds(page[: MB // 10]), seconds(page)
+    assert large < 30 * max(small, 0.02), kind
+    assert large < 6, kind
