@@ -4,15 +4,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline as Stages
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from rankbench.functions import text as tx
+from rankbench.operators import logistic
 from rankbench.operators.exhaustive import exhaustive_top_k
 from rankbench.operators.ranking import TOPK, rounded
 
@@ -197,22 +194,14 @@ def retrieve_pairs_with(
 
 
 def train_pair_scorer(
-    features: DataFrame, columns: list[str], regularization: float = 0.01
-):
-    """Distributed logistic model on labelled pair features.  Fits a model.
+    features: DataFrame, columns: list[str], regularization: float = logistic.RIDGE
+) -> logistic.LogisticModel:
+    """Logistic model on labelled pair features, at its optimum.  Fits a model.
 
-    Returns a fitted model whose :func:`apply_pair_model` gives probabilities.
+    :func:`apply_pair_model` gives its probabilities.
     """
-    assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    learner = LogisticRegression(
-        featuresCol="features", labelCol="label", regParam=regularization, maxIter=50
-    )
-    return Stages(stages=[assembler, learner]).fit(features)
+    return logistic.fit(features, columns, "label", regularization)
 
 
-def apply_pair_model(model, features: DataFrame) -> DataFrame:
-    return (
-        model.transform(features)
-        .withColumn("score", rounded(vector_to_array("probability")[1]))
-        .drop("features", "rawPrediction", "probability", "prediction")
-    )
+def apply_pair_model(model: logistic.LogisticModel, features: DataFrame) -> DataFrame:
+    return logistic.apply(model, features)

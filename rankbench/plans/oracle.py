@@ -293,11 +293,13 @@ sets as (
 overlap_of as (
   select triple_id, {jaccard('q', 'p')} as positive, {jaccard('q', 'n')} as negative from sets)"""
 
-OKAPI = f"""
+def okapi_of(s: str = "") -> str:
+    """Okapi scores of the pair sides; ``s`` ends the names of their index."""
+    return f"""
 sdocs as (select pair_id as docno, text from sides),
-""" + index_of("sdocs", "", lower=False).lstrip() + f""",
+""" + index_of("sdocs", "", s=s, lower=False).lstrip() + f""",
 raw_idf as (
-  select term, ln(n_docs - df + 0.5e0) - ln(df + 0.5e0) as raw from lex, st),
+  select term, ln(n_docs - df + 0.5e0) - ln(df + 0.5e0) as raw from lex{s}, st{s}),
 idf as (
   select term, case when raw < 0 then 0.25e0 * (select avg(raw) from raw_idf) else raw end as idf
   from raw_idf),
@@ -309,10 +311,13 @@ okapi as (
   select s.pair_id, s.triple_id, s.side, round(coalesce(sum(
       qtf * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 0), 6) as score
   from sides s
-  left join (asked a join post p on p.docno = a.pair_id and p.term = a.term
-             join idf i on i.term = a.term cross join st) on a.pair_id = s.pair_id
+  left join (asked a join post{s} p on p.docno = a.pair_id and p.term = a.term
+             join idf i on i.term = a.term cross join st{s}) on a.pair_id = s.pair_id
   group by s.pair_id, s.triple_id, s.side)"""
 
+
+OKAPI, OKAPI_OF_SIDES = okapi_of(), okapi_of("_sides")
+
 LENGTHS = f"""
 lengths as (
   select 'train_positive' as "group", len({toks('positive', False)}) as length from triples
@@ -343,6 +348,32 @@ blocks as (
   from numbered group by 1, 2 having count(*) = 512)"""
 
 
+def newton(rows: str, features: int, ridge: float = 0.01, steps: int = 9) -> str:
+    """CTE ``optimum`` (w): logistic weights of lists z over ``rows`` (z, y), intercept first.
+
+    Each step solves its linear system by elimination, a pivot at a time.
+    """
+    n = features + 1
+    parts = [f"w0 as materialized (select [0.0e0{', 0.0e0' * features}] as w)"]
+    for t in range(steps):
+        parts.append(f"""m{t}_0 as materialized (
+  select i, j, avg(case when j < {n} then p * (1 - p) * z[i + 1] * z[j + 1] else (p - y) * z[i + 1] end)
+         + case when i > 0 and i = j then {ridge}e0 when i > 0 and j = {n} then {ridge}e0 * any_value(w)[i + 1]
+           else 0 end as v
+  from (select z, y, w, 1 / (1 + exp(-list_dot_product(z, w))) as p from {rows}, w{t}),
+       (select unnest(range({n}))::int as i), (select unnest(range({n + 1}))::int as j)
+  group by i, j)""")
+        for k in range(n):
+            parts.append(f"""m{t}_{k + 1} as materialized (
+  select a.i, a.j, case when a.i = {k} then a.v / p.v else a.v - own.v * top.v / p.v end as v
+  from m{t}_{k} a join m{t}_{k} p on p.i = {k} and p.j = {k}
+  join m{t}_{k} own on own.i = a.i and own.j = {k} join m{t}_{k} top on top.i = {k} and top.j = a.j)""")
+        parts.append(f"""w{t + 1} as materialized (
+  select list(w[i + 1] - v order by i) as w from m{t}_{n}, w{t} where j = {n})""")
+    parts.append(f"optimum as (select w from w{steps})")
+    return ",\n".join(parts)
+
+
 def share(seed: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 8))::bigint / 4294967296.0e0)"
 
@@ -367,6 +398,13 @@ def oracles() -> dict[str, str]:
         runs(**{n: n for n in ("bm25", "bm25_ng2", "tfidf", "dense", "pair",
                                "bm25_dense", "bm25_pair", "dense_pair")}),
     )
+    pair_vectors = [
+        encoded(name, f"""
+            select pair_id, term, count(*) as tf
+            from (select pair_id, unnest({toks(column)}) as term from sides) group by 1, 2""",
+            "select pair_id from sides", "pair_id")
+        for name, column in (("lvec", "query"), ("rvec", "text"))
+    ]
     chat_judged = (CHAT, CHAT_QRELS, index, bm25(), runs(bm25="bm25"), METRICS)
     bench_vectors = (BENCH, index, DOC_VECTORS, TOPIC_VECTORS, COSINES)
     class_dense = (VECTORS, f"""
@@ -655,13 +693,30 @@ masked as (
               string_agg(cast(case when chosen then id else -100 end as varchar), ' '
                          order by i) as labels
             from masked group by batch, block"""),
-        "loss_contrastive": with_(CHAT, TRIPLES, index, encoded("lvec", f"""
-            select pair_id, term, count(*) as tf
-            from (select pair_id, unnest({toks('query')}) as term from sides) group by 1, 2""",
-            "select pair_id from sides", "pair_id"), encoded("rvec", f"""
-            select pair_id, term, count(*) as tf
-            from (select pair_id, unnest({toks('text')}) as term from sides) group by 1, 2""",
-            "select pair_id from sides", "pair_id"), """
+        "train_pair_scorer": with_(CHAT, TRIPLES, index, *pair_vectors, OKAPI_OF_SIDES, f"""
+cosine_of as (
+  select l.pair_id, coalesce(sum(l.x * r.x)
+           / nullif(sqrt(sum(l.x * l.x)) * sqrt(sum(r.x * r.x)), 0), 0) as cosine
+  from lvec l join rvec r on l.pair_id = r.pair_id and l.slot = r.slot group by l.pair_id),
+words_of as (
+  select pair_id, side, list_distinct({toks('query')}) as q, list_distinct({toks('text')}) as d,
+         len({toks('query')}) as lq, len({toks('text')}) as ld from sides),
+measured as (
+  select pair_id, case when words_of.side = 'positive' then 1 else 0 end as label,
+         coalesce(len(list_intersect(q, d)) / nullif(len(q) + len(d) - len(list_intersect(q, d)), 0), 0) as f1,
+         coalesce(len(list_intersect(q, d)) / nullif(len(q), 0), 0) as f2,
+         coalesce(least(lq, ld) / nullif(greatest(lq, ld), 0), 0) as f3,
+         o.score as f4, c.cosine as f5
+  from words_of join okapi o using (pair_id) join cosine_of c using (pair_id)),
+spread as (
+  select stddev_samp(f1) as s1, stddev_samp(f2) as s2, stddev_samp(f3) as s3,
+         stddev_samp(f4) as s4, stddev_samp(f5) as s5 from measured),
+scaled as materialized (
+  select pair_id, label as y, [1.0e0, f1 / s1, f2 / s2, f3 / s3, f4 / s4, f5 / s5] as z
+  from measured, spread)""", newton("scaled", 5), select="""
+            select pair_id, y as label, round(1 / (1 + exp(-list_dot_product(z, w))), 6) as score
+            from scaled, optimum"""),
+        "loss_contrastive": with_(CHAT, TRIPLES, index, *pair_vectors, """
 distances as (
   select l.pair_id, 1 - coalesce(sum(l.x * r.x)
            / nullif(sqrt(sum(l.x * l.x)) * sqrt(sum(r.x * r.x)), 0), 0) as d,

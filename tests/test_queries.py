@@ -9,7 +9,7 @@ from rankbench.plans.oracle import oracles
 from rankbench.plans.queries import QUERIES
 
 SQL = oracles()
-ROWS_ONLY = {"diag_shift_auc", "diag_shift_features", "train_pair_scorer"}
+ROWS_ONLY = {"diag_shift_auc", "diag_shift_features"}
 
 
 @pytest.fixture(scope="module")
