@@ -37,6 +37,8 @@ END_ID = 1
 PATTERN_PIECES = 4
 PATTERNS = 60_000
 FIT_STEPS = 200
+# Shares of the histogram that the patterns are fitted to.
+SHARES = (1.0, 0.9, 0.75, 0.5)
 # Words whose ids a task remembers, at most; then it forgets them all.
 REMEMBERED = 400_000
 
@@ -274,18 +276,18 @@ def _best_fit(left: np.ndarray, size: int) -> list[Group]:
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> list[Group]:
     """Groups of sequences that hold each length as often as ``counts`` says.
 
-    The patterns are fitted to several shares of the histogram, from none (best
-    fit alone) to all of it, and the plan with the fewest sequences is taken.
+    The patterns are fitted to several shares of the histogram, and the plan with
+    the fewest sequences is taken; what they leave is packed best fit.
     """
     best: list[Group] | None = None
     patterns = exact_patterns(counts, size, PATTERN_PIECES, PATTERNS)
     repeats = np.zeros(0)
     if len(patterns):
         patterns, repeats = fitted(patterns, counts)
-    for share in (1.0, 0.9, 0.75, 0.5, 0.0):
+    for share in SHARES:
         left = counts.astype(np.int64).copy()
         left[0] = 0
-        groups = _rounded(patterns, repeats * share, left) if share else []
+        groups = _rounded(patterns, repeats * share, left)
         groups += _best_fit(left, size)
         if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
             best = groups

@@ -13,7 +13,8 @@ move, of which there are at most 66 x 66 for each label whatever the input.
 
 Defined results: null and empty texts have no spans; a base match that fails
 its length is dropped but its characters stay used up for that kind; spans of
-different kinds may overlap, but a ``markov`` span never overlaps a base span;
+different kinds may overlap, but a ``markov`` span never overlaps a base span (a
+run that touches one is that span's, with all its characters);
 repeated rows give repeated results; without samples of both labels the method
 adds nothing; an empty table gives an empty result.  Other columns play no part.
 """
@@ -42,11 +43,10 @@ KINDS = ("assign", "access", "hex", "markov")
 _ACCESS_LONG = rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}"
 _HEX_LONG = rf"[0-9a-f]{{{LEAST_HEX},}}"
 
-# Candidates of the method: whole runs of token characters, 16 or more, with a
-# digit and a letter among them.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-)
+# Candidates of the method: whole runs of this many token characters or more.  What
+# they are made of is for the models to judge.
+LEAST_CANDIDATE = 12
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Nats per character that the ratio must exceed: 0 where the random model is the likelier one.
 THRESHOLD = 0.0
@@ -122,7 +122,7 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLES) -> DataFrame:
     """Rows (value, random): strings that the corpus itself labels.
 
     Values of base matches are random strings, words of letters ordinary
-    identifiers.  A hash of the value picks the same ones on every run; at most
+    identifiers, both from all texts.  A hash of the value picks the same ones on every run; at most
     ``most`` distinct values of each label are kept.  Runs jobs.
     """
     text = F.coalesce("text", F.lit(""))
@@ -139,10 +139,8 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLES) -> DataFrame:
         .select(F.explode(secret).alias("value"), F.lit(1).alias("random"))
         .distinct()
     )
-    # words of a sixteenth of the documents, by a hash of the text
-    sampled = docs.where(F.pmod(F.xxhash64(text), F.lit(16)) == 0)
     plain = (
-        sampled.select(
+        docs.select(
             F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z_]{6,}"), F.lit(0))).alias("value"),
             F.lit(0).alias("random"),
         )

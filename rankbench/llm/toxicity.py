@@ -40,10 +40,9 @@ SAMPLE = 20_000
 SEED = 17
 # Word beginnings of these lengths may become entries.
 PREFIXES = (4, 5, 6, 7, 8)
-# An entry's likelihood-ratio statistic and log-odds, at least; entries, at most.
+# An entry's likelihood-ratio statistic and log-odds, at least.
 LEAST_STATISTIC = 25.0
 LEAST_WEIGHT = 3.5
-MOST_ENTRIES = 20_000
 # A longer entry must weigh that much more than a shorter one that covers it.
 GAIN = 0.5
 # Uses of an exception phrase in clean documents, at least.
@@ -213,45 +212,32 @@ def _counted(sample: DataFrame, make) -> DataFrame:
 def learn(sample: DataFrame) -> Model:
     """Model from rows (text, toxic, half); half 0 gives the lexicon, half 1 the curve.
 
-    What comes to the driver is bounded by ``MOST_ENTRIES`` and by the sample.
+    What comes to the driver are the entries that tell the labels apart and the
+    exceptions, out of a sample of bounded size.
     """
     toxic, clean = (sample.where(f"half = 0 and toxic = {t}") for t in (1, 0))
     n_toxic, n_clean = toxic.count(), clean.count()
     support = max(3, n_toxic // 200)
-    candidates = {
-        r["item"]: r["n"]
-        for r in _counted(toxic, lambda: lambda t: _features(fold(t)))
-        .where(F.col("n") >= support)
-        .orderBy(F.col("n").desc(), "item")
-        .limit(MOST_ENTRIES)
-        .collect()
-    }
-    names = frozenset(candidates)
-    in_clean = (
-        {
-            r["item"]: r["n"]
-            for r in _counted(clean, lambda: lambda t: _features(fold(t)) & names).collect()
-        }
-        if names
-        else {}
+
+    def features():
+        return lambda text: _features(fold(text))
+
+    in_toxic = checkpointed(_counted(toxic, features).where(F.col("n") >= support))
+    in_clean = _counted(clean, features).withColumnRenamed("n", "clean")
+    both = in_toxic.join(in_clean, "item", "left").select(
+        "item", "n", F.coalesce("clean", F.lit(0)).alias("clean")
+    )
+    told = both.where(telling(n_toxic, n_clean)).collect()
+    weights = select_entries(
+        {r["item"]: r["n"] for r in told}, {r["item"]: r["clean"] for r in told}, n_toxic, n_clean
     )
-    weights = select_entries(candidates, in_clean, n_toxic, n_clean)
 
     plain = Model(weights, frozenset(), ())
     exceptions = frozenset()
     if weights:
-        phrases = [
-            {
-                r["item"]: r["n"]
-                for r in _counted(part, lambda: _phrases(plain))
-                .where(F.col("n") >= least)
-                .orderBy(F.col("n").desc(), "item")
-                .limit(MOST_ENTRIES)
-                .collect()
-            }
-            for part, least in ((clean, LEAST_EXCEPTION), (toxic, 1))
-        ]
-        exceptions = frozenset(phrases[0].keys() - phrases[1].keys())
+        harmless = _counted(clean, lambda: _phrases(plain)).where(F.col("n") >= LEAST_EXCEPTION)
+        used = _counted(toxic, lambda: _phrases(plain)).select("item")
+        exceptions = frozenset(r["item"] for r in harmless.join(used, "item", "left_anti").collect())
     model = Model(weights, exceptions, ())
 
     @F.arrow_udf("total double, rate double")
@@ -304,6 +290,20 @@ def _phrases(model: Model):
     return of
 
 
+def telling(n_toxic: int, n_clean: int) -> Column:
+    """Whether an item in ``n`` toxic and ``clean`` clean documents passes both bars.
+
+    A little below them: :func:`select_entries` decides.
+    """
+    t, n = F.col("n"), F.col("clean")
+    share = n_toxic / max(1, n_toxic + n_clean)
+    weight = F.ln((t + 0.5) / (n_toxic + 1)) - F.ln((n + 0.5) / (n_clean + 1))
+    statistic = 2 * t * F.ln(t / ((t + n) * share))
+    if share < 1:
+        statistic += F.when(n > 0, 2 * n * F.ln(n / ((t + n) * (1 - share)))).otherwise(0.0)
+    return (weight >= LEAST_WEIGHT - 1e-6) & (statistic >= LEAST_STATISTIC - 1e-6)
+
+
 def select_entries(
     in_toxic: dict[str, int], in_clean: dict[str, int], n_toxic: int, n_clean: int
 ) -> dict[str, float]:

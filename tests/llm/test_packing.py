@@ -111,3 +111,15 @@ def test_query_on_the_table(spark, sf_dir):
     used = verify(rows, {d["doc_id"]: d["text"] for d in docs})
     least = -(-sum(r["length"] for r in rows) // SIZE)
     assert used <= 1.01 * least + 1
+
+
+def test_every_plan_has_fitted_patterns():
+    """No plan is best fit alone, and what the patterns take fills sequences exactly."""
+    assert all(share > 0 for share in packing.SHARES)
+    counts = np.zeros(101, np.int64)
+    counts[[30, 70, 45, 55, 20]] = [40, 40, 25, 25, 50]
+    groups = packing.plan(counts, 100)
+    # a plan by fitted patterns whose sequences are nearly all full
+    assert sum(n for _, n in groups) <= 76
+    full = [(c, n) for c, n in groups if 2 <= len(c) <= packing.PATTERN_PIECES and sum(c) == 100]
+    assert sum(n for _, n in full) >= 50

@@ -128,3 +128,64 @@ def test_query_on_the_table(spark, sf_dir):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
         for k in ("assign", "access", "hex"):
             assert r[f"n_{k}"] == len(re.findall(f"{k}:", base))
+
+
+def test_few_texts_give_both_labels(spark, sf_dir):
+    """No sample of the texts: every text's words count, however few there are."""
+    docs = spark.createDataFrame(
+        [(k, f"some ordinary words_here password=q8{k}Zk29fLw") for k in range(10)], "doc_id int, text string"
+    )
+    for k in range(10):
+        one = docs.where(F.col("doc_id") == k)
+        labels = {r["random"] for r in secrets.labelled_samples(one).collect()}
+        assert labels == {0, 1}
+
+
+def test_letters_alone_are_judged_by_the_models(spark):
+    ratio = secrets.train(
+        spark.createDataFrame(strings(random.Random(5), 400), "value string, random int")
+    )
+    docs = spark.createDataFrame([(1, "see qXzKvWjQpZbT and read_the_notes_now")], "doc_id int, text string")
+    (row,) = secrets.scan(docs, ratio).collect()
+    assert [tuple(s) for s in row["_spans"]] == [(3, 4, 16)]
+
+
+def test_added_spans_against_plain_python(spark, sf_dir):
+    """The spans of the query by the same chains in plain Python."""
+    import math
+
+    folder = sf_dir.replace("sf0.001", "sf0.01")  # the smallest table has no secrets to learn from
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    samples = [(r["value"], r["random"]) for r in secrets.labelled_samples(docs).collect()]
+    size = len(secrets.ALPHABET) + 1
+    counts = [[[secrets.SMOOTHING] * size for _ in range(size + 1)] for _ in (0, 1)]
+    code = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    for value, label in samples:
+        before = 0
+        for c in value:
+            i = code.get(c, size - 1)
+            counts[label][before][i] += 1
+            before = i + 1
+
+    def score(value):
+        total, before = 0.0, 0
+        for c in value:
+            i = code.get(c, size - 1)
+            total += math.log(counts[1][before][i] / sum(counts[1][before]))
+            total -= math.log(counts[0][before][i] / sum(counts[0][before]))
+            before = i + 1
+        return total / len(value)
+
+    rows = {r["doc_id"]: r for r in QUERIES["op6_secret_scan"](spark, folder).collect()}
+    added = 0
+    for doc in docs.collect():
+        spans = [s.split(":") for s in rows[doc["doc_id"]]["spans"].split(",") if s]
+        base = [(int(a), int(b)) for kind, a, b in spans if kind != "markov"]
+        expected = [
+            (m.start(), m.end())
+            for m in re.finditer(secrets.CANDIDATE, doc["text"] or "")
+            if not any(a < m.end() and m.start() < b for a, b in base) and score(m[0]) > secrets.THRESHOLD
+        ]
+        assert [(int(a), int(b)) for kind, a, b in spans if kind == "markov"] == expected
+        added += len(expected)
+    assert added

@@ -107,3 +107,30 @@ def test_query_on_the_table(spark, sf_dir):
     rows = QUERIES["op1_toxicity"](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
+def test_a_rarer_term_is_not_crowded_out_by_ordinary_words(spark):
+    """More ordinary words than any bound on entries, in every document of both labels."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in "kmx"][:21_000]
+    ordinary = " ".join(words)
+    rows = [(ordinary + (" zorgblatter" if k < 16 else ""), 1, 0) for k in range(40)]
+    rows += [(ordinary, 0, 0)] * 60 + [("zorgblatter here", 1, 1), ("nothing here", 0, 1)] * 5
+    sample = spark.createDataFrame(rows, "text string, toxic int, half int").repartition(8)
+    model = toxicity.learn(sample)
+    assert any("zorgblatter".startswith(entry.strip()) for entry in model.weights)
+    assert not any(entry.strip() in words for entry in model.weights)
+
+
+def test_query_finds_the_labels_it_did_not_learn(spark, sf_dir):
+    """Held-out accuracy of the query itself, on a table of some size."""
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op1_toxicity"](spark, folder).collect() if r["doc_id"] in labels]
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 100 and sum(labels[r["doc_id"]] for r in held) > 5
+    found = sum(r["predicted"] for r in held if labels[r["doc_id"]] == 1)
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) / len(held) > 0.95
+    # some labels have no toxic word in their text, or one beside the wrong label
+    assert found / sum(labels[r["doc_id"]] for r in held) > 0.75
+    assert found / sum(r["predicted"] for r in held) > 0.85
