@@ -276,21 +276,24 @@ def _best_fit(left: np.ndarray, size: int) -> list[Group]:
 def plan(counts: np.ndarray, size: int = SEQUENCE) -> list[Group]:
     """Groups of sequences that hold each length as often as ``counts`` says.
 
-    The patterns are fitted to several shares of the histogram, and the plan with
-    the fewest sequences is taken; what they leave is packed best fit.
+    All patterns, and those of two lengths alone, are fitted to several shares of
+    the histogram, and the plan with the fewest sequences is taken; what the
+    patterns leave is packed best fit.
     """
     best: list[Group] | None = None
-    patterns = exact_patterns(counts, size, PATTERN_PIECES, PATTERNS)
-    repeats = np.zeros(0)
-    if len(patterns):
-        patterns, repeats = fitted(patterns, counts)
-    for share in SHARES:
-        left = counts.astype(np.int64).copy()
-        left[0] = 0
-        groups = _rounded(patterns, repeats * share, left)
-        groups += _best_fit(left, size)
-        if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
-            best = groups
+    every = exact_patterns(counts, size, PATTERN_PIECES, PATTERNS)
+    for parts in (PATTERN_PIECES, 2):  # patterns of more lengths may break up good pairs
+        patterns = every[(every > 0).sum(axis=1) <= parts]
+        repeats = np.zeros(0)
+        if len(patterns):
+            patterns, repeats = fitted(patterns, counts)
+        for share in SHARES:
+            left = counts.astype(np.int64).copy()
+            left[0] = 0
+            groups = _rounded(patterns, repeats * share, left)
+            groups += _best_fit(left, size)
+            if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
+                best = groups
     return best or []
 
 
