@@ -1,9 +1,12 @@
 """Token ids, fixed-size blocks and masking for masked-word training data."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from rankbench.functions import text as tx
 from rankbench.functions.hashing import draw, share
@@ -62,6 +65,31 @@ def token_ids(
     )
 
 
+def subword_ids(corpus: DataFrame, path: str, keys: Sequence[str] = ("docno",)) -> DataFrame:
+    """``keys`` and the ids that the tokenizer file ``path`` gives the text, in order.
+
+    The file must lie at ``path`` wherever a task runs; it is opened once for each
+    Python worker.  No special tokens are added and texts are whole.
+    """
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = _tokenizer(path)
+        for part in texts:
+            found = tokenizer.encode_batch([t.as_py() for t in part], add_special_tokens=False)
+            yield pa.array([e.ids for e in found], pa.list_(pa.int32()))
+
+    laid = corpus.where(F.col("text").isNotNull())
+    return laid.select(*keys, encoded(F.col("text")).alias("ids"))
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def batched(docs: DataFrame, seed: int = 42, rows: int = BATCH_ROWS) -> DataFrame:
     """``batch`` column: about ``rows`` documents share a value."""
     total = docs.agg(F.count(F.lit(1))).scalar()

@@ -1,11 +1,13 @@
 """Vectors: the built-in encoder, the vector index and exact cosine retrieval."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from rankbench.functions import text as tx
 from rankbench.functions.hashing import sign, slot
@@ -102,24 +104,18 @@ def encode_with(
     batch: int = 16,
     normalize: bool = True,
 ) -> DataFrame:
-    """Vectors from a user's model, in Arrow batches.
+    """Vectors from a user's model, ``batch`` texts at a time.
 
-    ``load_model`` runs once per task and returns a function from a series of
-    texts to a matrix; it is called with ``batch`` texts at a time.
+    ``load_model`` runs once for each Python worker, not for each task, and
+    returns a function from a series of texts to a matrix.
     """
-    key_type = texts.schema[key].dataType.simpleString()
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = load_model()
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                matrix = np.asarray(model(part[column]), dtype="float64")
-                yield pd.DataFrame({key: part[key].values, "embedding": list(matrix)})
-
-    encoded = texts.select(key, column).mapInPandas(
-        encode, f"{key} {key_type}, embedding array<double>"
-    )
+        return lambda column: np.asarray(model(pd.Series(column)), dtype="float64")
+
+    encode = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch)
+    encoded = texts.select(key, encode(F.col(column)).alias("embedding"))
     return normalized(encoded) if normalize else encoded
 
 

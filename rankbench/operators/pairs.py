@@ -1,9 +1,10 @@
 """Scores for (query, text) pairs: fixed weights, a trained model, or a user's function."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -76,18 +77,20 @@ def batch_scorer(
     load_model: Callable[[], Callable[[pd.Series, pd.Series], np.ndarray]],
     batch: int = BATCH,
 ) -> Callable[[DataFrame], DataFrame]:
-    """Scorer around a user's model over Arrow batches; the model loads once per task."""
+    """Scorer around a user's model, ``batch`` pairs at a time.
 
-    @F.pandas_udf(DoubleType())
-    def predict(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    ``load_model`` runs once for each Python worker, not for each task.
+    """
+
+    def make():
         model = load_model()
-        for query, text in parts:
-            scores = [
-                np.asarray(model(query.iloc[i : i + batch], text.iloc[i : i + batch]))
-                for i in range(0, len(query), batch)
-            ]
-            yield pd.Series(np.concatenate(scores) if scores else [], dtype="float64")
 
+        def scores(query: np.ndarray, text: np.ndarray) -> np.ndarray:
+            return np.asarray(model(pd.Series(query), pd.Series(text)), dtype="float64")
+
+        return scores
+
+    predict = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch)
     return lambda pairs: pairs.withColumn(
         "score", rounded(predict(F.col("query"), F.col("text")))
     )

@@ -733,6 +733,17 @@ def lm_token_ids(spark, sf_dir):
     return found.select("docno", F.size("ids").alias("n"), _ids("ids"))
 
 
+@query
+def lm_subword_ids(spark, sf_dir):
+    """Ids of a public tokenizer, packed to blocks as words are."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = blocks.batched(bench(spark, sf_dir).corpus)
+    found = blocks.subword_ids(docs, path, ["batch", "docno"])
+    return blocks.packed(found).select("batch", "block", _ids("input_ids"))
+
+
 def _packed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     corpus = bench(spark, sf_dir).corpus
     vocabulary = blocks.word_ids(corpus)

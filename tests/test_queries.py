@@ -9,7 +9,7 @@ from rankbench.plans.oracle import oracles
 from rankbench.plans.queries import QUERIES
 
 SQL = oracles()
-ROWS_ONLY = {"diag_shift_auc", "diag_shift_features"}
+ROWS_ONLY = {"diag_shift_auc", "diag_shift_features", "lm_subword_ids"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def tables(sf_dir):
     return compare.connect(sf_dir)
 
 
-def test_every_query_has_sql_or_is_a_model_fit():
+def test_every_query_has_sql_but_model_fits_and_tokenizer_files():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
     assert set(SQL) <= set(QUERIES)
 
@@ -41,3 +41,28 @@ def test_every_query_is_registered():
 def test_flagship(spark):
     rows = entry_point.entry(spark).collect()
     assert len(rows) == 7 and all(0 <= r["value"] <= 1 for r in rows)
+
+
+def test_subword_blocks_are_the_tokenizers_ids(spark, sf_dir):
+    """Blocks of the query, put together again, are the ids of the texts in order."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+
+    from rankbench.operators import blocks
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as string) docno", "text")
+    placed = blocks.batched(docs).select("batch", "docno", "text").orderBy("batch", "docno").collect()
+    streams = {}
+    for r in placed:
+        if r["text"] is not None:
+            ids = tokenizer.encode(r["text"], add_special_tokens=False).ids
+            streams.setdefault(r["batch"], []).extend(ids)
+    expected = {
+        (batch, k): " ".join(map(str, ids[k * 512 : (k + 1) * 512]))
+        for batch, ids in streams.items()
+        for k in range(len(ids) // 512)
+    }
+    rows = QUERIES["lm_subword_ids"](spark, sf_dir).collect()
+    assert {(r["batch"], r["block"]): r["input_ids"] for r in rows} == expected

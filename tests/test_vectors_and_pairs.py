@@ -194,3 +194,29 @@ def test_block_scorer_contract(spark):
     run = exhaustive_top_k(none, docs, lambda: lambda q: lambda d: np.zeros((len(q), len(d))))
     assert run.count() == 0
     assert isinstance(none.toPandas(), pd.DataFrame)
+
+
+def test_models_load_once_per_worker(spark, tmp_path):
+    """More tasks than workers: the model is not loaded for each of them."""
+    import os
+
+    loads = str(tmp_path)
+
+    def load():
+        import uuid
+
+        open(os.path.join(loads, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+        def model(query, text):
+            assert len(query) <= 8
+            return query.str.len().to_numpy(float) + text.str.len().to_numpy(float) / 100
+
+        return model
+
+    rows = spark.createDataFrame([("a" * (i % 9), "b" * (i % 7)) for i in range(400)], "query string, text string")
+    scored = pairs.score_pairs(rows.repartition(40), pairs.batch_scorer(load, batch=8))
+    assert all(
+        r["score"] == pytest.approx(len(r["query"]) + len(r["text"]) / 100) for r in scored.collect()
+    )
+    workers = [name.split("-")[0] for name in os.listdir(loads)]
+    assert 1 <= len(workers) < 40 and len(workers) == len(set(workers))
