@@ -10,8 +10,8 @@ further passes compare whole runs: all vectors whose hash begins with the same
 few bits, however many.  A pair at the cosine shares such a run with a known
 chance whatever lies around it; the bits follow the number of vectors, and the
 passes follow the bits, so that a pair is missed by all with a chance of
-``MISS`` at most.  A table of up to one block is one run, compared in full.  A
-long run is compared in cells of two blocks like a component.
+``MISS`` at most.  Tables of any size go this way.  A long run is compared in
+cells of two blocks like a component.
 
 An exact count follows: inside each component every
 pair is compared in blocks, so a member's number of links is whole however
@@ -44,6 +44,8 @@ COSINE = 0.95
 PASSES = 16
 WINDOW = 16
 BITS = 62
+# Bits of a run's prefix, at least.
+LEAST_BITS = 4
 SEED = 11
 # Vectors in one block of the exact count, and the rows that share a task's frame.
 BLOCK = 1024
@@ -258,9 +260,10 @@ def projection_links(
 def run_passes(vectors: int, cosine: float, block: int, miss: float = MISS) -> tuple[int, int]:
     """(bits, passes) of the runs: about a block in a run of spread-out vectors.
 
-    Signs of one projection differ for a pair with a chance of angle / pi.
+    A small table has ``LEAST_BITS`` all the same, so it is not one run.  Signs of
+    one projection differ for a pair with a chance of angle / pi.
     """
-    bits = min(BITS, max(0, math.ceil(math.log2(max(1, vectors) / block))))
+    bits = min(BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, vectors) / block))))
     shared = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
     return bits, 1 if shared >= 1 else math.ceil(math.log(miss) / math.log1p(-shared))
 
