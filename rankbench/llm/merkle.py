@@ -336,12 +336,10 @@ def _proved(key: tuple[pa.Scalar, ...], table: pa.Table, above: pa.Table) -> pa.
     for slot, own, other in zip(slots, table.column("h").to_pylist(), table.column("altered").to_pylist()):
         path = _siblings(tree, slot)
         proofs.append(_digest([*(a + b for a, b in path), end]))
-        if other is None or other == own:
-            folded.append(root)
-            continue
+        node = own if other is None else other
         for a, b in (*path, *over):
-            other = _digest([a, other, b])
-        folded.append(other)
+            node = _digest([a, node, b])
+        folded.append(node)
     n = len(slots)
     return pa.table(
         {
@@ -359,8 +357,8 @@ def _proved(key: tuple[pa.Scalar, ...], table: pa.Table, above: pa.Table) -> pa.
 def proofs(made: Manifest) -> DataFrame:
     """Rows (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified).
 
-    ``folded_root`` is made of the altered leaf, where there is one, and the
-    original siblings; a leaf that was not altered folds to the root it has.
+    ``folded_root`` is folded level by level from the altered leaf, or from the
+    original one where none was altered, and the original siblings.
     """
     id_type = made.leaves.schema["doc_id"].dataType.simpleString()
     schema = (

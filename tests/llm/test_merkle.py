@@ -126,6 +126,16 @@ def test_one_changed_leaf_is_told(spark):
     assert all(r["verified"] for r in merkle.proofs(merkle.manifest(docs)).collect())
 
 
+def test_unaltered_leaves_are_folded_too(spark):
+    rows = [(k, "s", "en" if k % 2 else "de", 1, "Text") for k in range(30)]
+    made = merkle.manifest(spark.createDataFrame(rows, SCHEMA))
+    wrong = F.transform("left", lambda h: F.concat(h, F.lit("0")))
+    broken = merkle.Manifest(made.leaves, made.above.withColumn("left", wrong))
+    got = merkle.proofs(broken).collect()
+    assert len(got) == 30
+    assert not any(r["verified"] or r["folded_root"] == r["root"] for r in got)
+
+
 def test_query_against_sql(spark, sf_dir):
     name = "op12_merkle_manifest"
     tables = compare.connect(sf_dir)
