@@ -184,3 +184,12 @@ def test_raw_query_goes_to_the_reranker_only(spark):
     assert seen == [["Big CAT!"]] and {r["score"] for r in got} == {8.0}
     found = lexical.retrieve(chains.keep_raw_query(topics, 2), index, pretokenised=True)
     assert found.exceptAll(lexical.retrieve(topics, index)).isEmpty() and found.count() == 2
+
+
+def test_a_bucket_holds_little_text(spark):
+    """Memory of a task stays the same however large the corpus is."""
+    corpus = spark.range(48).select(
+        F.col("id").cast("string").alias("docno"), F.repeat(F.lit("a b "), 1 << 19).alias("text")
+    )
+    n_bytes = 48 << 21
+    assert lexicon_index.bucket_count(corpus) >= n_bytes / (8 << 20)
