@@ -193,3 +193,61 @@ def test_a_bucket_holds_little_text(spark):
     )
     n_bytes = 48 << 21
     assert lexicon_index.bucket_count(corpus) >= n_bytes / (8 << 20)
+
+
+def test_queries_in_blocks_give_the_same_rows(spark):
+    """Repeats, nulls, negative weights, ties and documents without a shared term."""
+    corpus = skewed(spark).unionByName(
+        spark.createDataFrame(
+            [(None, "the w1 x1"), (None, "w2 w2"), ("d7", "the other text w1"), ("e", None), ("f", "")],
+            "docno string, text string",
+        )
+    )
+    index = lexicon_index.write_index(corpus, fresh_path(spark, "blocks"))
+    topics = spark.range(300).select(
+        F.when(F.col("id") % 50 != 3, F.concat(F.lit("q"), F.col("id") % 290)).alias("qid"),
+        F.when(
+            F.col("id") % 60 != 5,
+            F.concat_ws(" ", F.lit("the the"), F.concat(F.lit("w"), F.col("id") % 40), F.concat(F.lit("x"), F.col("id") % 9)),
+        ).alias("query"),
+    ).unionByName(spark.createDataFrame([("rare", "x1 w1"), ("none", "zz")], "qid string, query string"))
+    both = {"bm25": lexical.bm25_weights(), "tfidf": lexical.tfidf_weights()}
+    rows = lexical.retrieve_many(topics, index, both)
+    blocks = lexical.retrieve_many(topics, index, both, joined_queries=0)
+    assert blocks.columns == rows.columns and blocks.schema["rank"].dataType == rows.schema["rank"].dataType
+    assert rows.count() > 5000
+    assert [rows.exceptAll(blocks).take(5), blocks.exceptAll(rows).take(5)] == [[], []]
+
+
+def test_many_queries_are_not_joined_row_by_row(spark):
+    index = lexicon_index.write_index(skewed(spark), fresh_path(spark, "many"))
+    topics = spark.range(1500).select(F.concat(F.lit("q"), "id").alias("qid"), F.lit("the w1").alias("query"))
+    plan = lexical.retrieve(topics, index)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    assert lexical.retrieve(topics, index).count() == 15000
+
+
+def test_common_and_rare_terms_are_summed_alike(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from rankbench.operators import term_blocks
+
+    draw = np.random.default_rng(1)
+
+    def frame(n):
+        terms = [[f"t{x}" for x in draw.integers(0, 30, draw.integers(0, 9))] for _ in range(n)]
+        return pd.DataFrame({"terms": terms, "weights": [draw.normal(size=len(t)) for t in terms]})
+
+    queries, docs = frame(40), frame(300)
+    want = np.full((40, 300), np.nan)
+    for i, (a, x) in enumerate(zip(queries["terms"], queries["weights"])):
+        for j, (b, y) in enumerate(zip(docs["terms"], docs["weights"])):
+            if set(a) & set(b):
+                want[i, j] = sum(p * q for s, p in zip(a, x) for t, q in zip(b, y) if s == t)
+    for docs_at_least, most, matches in ((16, 2048, 10**6), (10**6, 2048, 50), (1, 2048, 50), (1, 5, 50)):
+        monkeypatch.setattr(term_blocks, "COMMON_DOCS", docs_at_least)
+        monkeypatch.setattr(term_blocks, "MOST_COMMON", most)
+        monkeypatch.setattr(term_blocks, "MATCHES", matches)
+        got = term_blocks.matrix_scorer()(queries)(docs)
+        assert np.allclose(got, want, equal_nan=True)
