@@ -3,6 +3,7 @@
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ FIRST_ID = 2
 BLOCK = 512
 BATCH_ROWS = 1000
 MASK_SHARE = 0.25
+# Characters that the tokenizer is given at once.
+ENCODED_CHARS = 1 << 18
 KEPT_LABEL = -100
 
 
@@ -69,20 +72,40 @@ def subword_ids(corpus: DataFrame, path: str, keys: Sequence[str] = ("docno",))
     """``keys`` and the ids that the tokenizer file ``path`` gives the text, in order.
 
     The file must lie at ``path`` wherever a task runs; it is opened once for each
-    Python worker.  No special tokens are added and texts are whole.
+    Python worker.  No special tokens are added and texts are whole.  A few texts
+    are encoded at a time, as what the tokenizer returns is far larger than its ids.
     """
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _tokenizer(path)
         for part in texts:
-            found = tokenizer.encode_batch([t.as_py() for t in part], add_special_tokens=False)
-            yield pa.array([e.ids for e in found], pa.list_(pa.int32()))
+            sizes, ids = [0], [np.empty(0, "int32")]
+            for few in _few(part):
+                for e in tokenizer.encode_batch(few, add_special_tokens=False):
+                    ids.append(np.array(e.ids, "int32"))
+                    sizes.append(len(ids[-1]))
+            ends = pa.array(np.cumsum(sizes), pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
 
     laid = corpus.where(F.col("text").isNotNull())
     return laid.select(*keys, encoded(F.col("text")).alias("ids"))
 
 
+def _few(texts: pa.Array, most: int = ENCODED_CHARS) -> Iterator[list[str]]:
+    """All texts in order, in lists of ``most`` characters or one text."""
+    few, held = [], 0
+    for text in texts:
+        text = text.as_py()
+        if few and held + len(text) > most:
+            yield few
+            few, held = [], 0
+        few.append(text)
+        held += len(text)
+    if few:
+        yield few
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer

@@ -66,3 +66,15 @@ def test_subword_blocks_are_the_tokenizers_ids(spark, sf_dir):
     }
     rows = QUERIES["lm_subword_ids"](spark, sf_dir).collect()
     assert {(r["batch"], r["block"]): r["input_ids"] for r in rows} == expected
+
+
+def test_tokenizer_is_given_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from rankbench.operators import blocks
+
+    texts = ["a" * 7, "", "b" * 30, "ccc", "dd", ""]
+    lists = list(blocks._few(pa.array(texts), 10))
+    assert [t for few in lists for t in few] == texts
+    assert all(len(few) == 1 or sum(map(len, few)) <= 10 for few in lists)
+    assert list(blocks._few(pa.array([], pa.string()))) == []
