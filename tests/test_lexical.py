@@ -193,6 +193,7 @@ def test_a_bucket_holds_little_text(spark):
     )
     n_bytes = 48 << 21
     assert lexicon_index.bucket_count(corpus) >= n_bytes / (8 << 20)
+    assert lexicon_index.bucket_count(corpus, 2) >= n_bytes / (4 << 20)  # with bigrams
 
 
 def test_queries_in_blocks_give_the_same_rows(spark):

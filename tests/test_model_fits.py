@@ -100,3 +100,7 @@ def test_cross_validation_against_numpy(shifted):
     assert found["auc"] == pytest.approx(np.mean(scores), abs=0.01)
     assert found["deviation"] == pytest.approx(np.std(scores), abs=0.01)
     assert found["shift"] == "strong"
+
+
+def test_partial_sums_meet_before_the_driver():
+    assert shift.learner(10).getAggregationDepth() >= 4

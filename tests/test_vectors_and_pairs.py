@@ -220,3 +220,17 @@ def test_models_load_once_per_worker(spark, tmp_path):
     )
     workers = [name.split("-")[0] for name in os.listdir(loads)]
     assert 1 <= len(workers) < 40 and len(workers) == len(set(workers))
+
+
+def test_only_rare_words_are_shuffled_for_their_weight(spark, monkeypatch):
+    """A word of one in 1,500 postings meets its weight where it lies."""
+    from rankbench.operators import lexicon_index
+
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(1499)), lambda i: F.concat(F.lit("w"), i)))
+    corpus = spark.range(3).select(F.col("id").cast("string").alias("docno"), words.alias("text"))
+    index = lexicon_index.build_index(corpus)
+    seen = []
+    plain = dense.lookup_join
+    monkeypatch.setattr(dense, "lookup_join", lambda *a: seen.append(a[3].count()) or plain(*a))
+    assert dense.encode_documents(index).count() == 3
+    assert seen == [1500]
