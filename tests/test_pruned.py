@@ -79,6 +79,18 @@ def test_layout_holds_every_posting_once(spark, indexed):
         assert block == 0 or 4 ** (tier - 1) <= block < 4**tier
 
 
+def test_postings_are_shuffled_once_by_term(spark, indexed):
+    mean = F.lit(indexed.stats.first()["avgdl"])
+    impact = lexical.bm25_weights()[1](mean)
+    once = pruned.blocks_by_term(indexed, impact, 8)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(term#" in plan
+    # terms of more postings than a task ranks are ranked by several: the same blocks
+    assert indexed.lexicon.where("df > 50").count() and indexed.lexicon.where("df <= 50").count()
+    parted = pruned.blocks_by_term(indexed, impact, 8, task_postings=50)
+    assert once.exceptAll(parted).isEmpty() and parted.exceptAll(once).isEmpty()
+
+
 def test_blocks_are_skipped_and_folders_pruned(spark, indexed):
     impacts = pruned.write_impacts(indexed, fresh_path(spark, "impacts"), block=8, folders=4)
     topics = spark.createDataFrame([("q", "w200 w2")], "qid string, query string")
