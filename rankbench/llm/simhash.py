@@ -35,8 +35,9 @@ HALF = 32
 # Fingerprints under one key that a task compares at once; larger groups are
 # dealt out as pairs of blocks of this size.
 BLOCK = 4096
-# Links held in a task before they are reduced to a forest.
-HELD_LINKS = 1_000_000
+# Links held in a task before they are reduced to a forest, which takes some 150
+# bytes for each.
+HELD_LINKS = 65_536
 
 
 def fingerprint_of(text: str | None, width: int = SHINGLE_WORDS) -> int:

@@ -38,6 +38,8 @@ from rankbench.session import checkpointed
 # Labelled documents that a model is learned from, at most.
 SAMPLE = 20_000
 SEED = 17
+# Items that a task counts before it gives out their counts so far.
+HELD_ITEMS = 65_536
 # Word beginnings of these lengths may become entries.
 PREFIXES = (4, 5, 6, 7, 8)
 # An entry's likelihood-ratio statistic and log-odds, at least.
@@ -200,7 +202,7 @@ def _counted(sample: DataFrame, make) -> DataFrame:
         for batch in batches:
             for text in batch.column("text"):
                 counts.update(of(text.as_py()))
-                if len(counts) > 500_000:
+                if len(counts) > HELD_ITEMS:
                     yield out()
         if counts:
             yield out()

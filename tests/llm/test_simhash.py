@@ -1,8 +1,10 @@
 """SimHash near-dedup against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -125,3 +127,16 @@ def test_query_on_the_table(spark, sf_dir):
     slow = [(d["doc_id"], slow_fingerprint(d["text"])) for d in docs]
     assert {r["doc_id"]: int(r["fingerprint"], 16) for r in rows} == dict(slow)
     assert {r["doc_id"]: r["component_id"] for r in rows} == slow_components(slow)
+
+
+def test_links_of_a_large_group_are_held_in_little_memory():
+    centre = [0] + [1 << i for i in range(60)] + [1 << i | 1 << j for i in range(60) for j in range(i)]
+    fps = np.sort(np.array(centre, np.int64))
+    fps = np.concatenate([fps + (k << 60) for k in range(4)])  # each within three bits of many
+    fps.sort()
+    tracemalloc.start()
+    nodes, roots = simhash._linked([np.zeros(len(fps), np.int64)], fps, simhash.MAX_BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(nodes) == len(fps) - 1 and set(roots) == {0}
+    assert peak < 20e6

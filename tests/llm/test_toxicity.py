@@ -134,3 +134,17 @@ def test_query_finds_the_labels_it_did_not_learn(spark, sf_dir):
     # some labels have no toxic word in their text, or one beside the wrong label
     assert found / sum(labels[r["doc_id"]] for r in held) > 0.75
     assert found / sum(r["predicted"] for r in held) > 0.85
+
+
+def test_few_items_are_held_while_texts_are_counted(spark, monkeypatch):
+    words = " ".join(f"word{i:06}" for i in range(2000))
+    sample = spark.createDataFrame([(words,), (words,), ("word000001 other",)], "text string").coalesce(1)
+
+    def items():
+        return lambda text: set(text.split())
+
+    whole = sorted(map(tuple, toxicity._counted(sample, items).collect()))
+    assert len(whole) == 2001 and ("word000001", 3) in whole
+    # counts given out in parts add up to the same
+    monkeypatch.setattr(toxicity, "HELD_ITEMS", 100)
+    assert sorted(map(tuple, toxicity._counted(sample, items).collect())) == whole
