@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankbench.functions import text as tx
 from rankbench.functions.hashing import digest
-from rankbench.operators.joins import fetch
+from rankbench.operators.joins import broadcast_if_short, fetch
 from rankbench.operators.numbering import number_by_digest
 from rankbench.session import checkpointed, spread
 
@@ -96,10 +96,12 @@ def bench_qrels(spark, sf_dir, index) -> DataFrame:
         .groupBy("qid")
         .agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     )
-    needles = topics.join(rarest, "qid").select(
-        "qid", "term", _framed(F.col("words")).alias("needle")
+    needles = topics.select("qid", _framed(F.col("words")).alias("needle"))
+    # one short row an item: the postings stay where they lie
+    asked = broadcast_if_short(checkpointed(rarest))
+    candidates = checkpointed(
+        index.postings.select("docno", "term").join(asked, "term").join(needles, "qid")
     )
-    candidates = checkpointed(index.postings.select("docno", "term").join(needles, "term"))
     return (
         fetch(candidates, index.docstore.select("docno", "text_raw"))
         .withColumn("words", tx.words(F.col("text_raw")))

@@ -243,3 +243,25 @@ def test_percentile_with_an_outlier(spark):
     )
     got = {r["g"]: r["x"] for r in quantiles.exact_percentile(rows, ["g"], "v", 0.95, "x").collect()}
     assert got == {g: pytest.approx(np.percentile(vs, 95)) for g, vs in values.items()}
+
+
+def test_postings_are_not_shuffled_for_the_judgments(spark, sf_dir, monkeypatch):
+    """The items' rarest words go to the postings, not the postings to the words."""
+    from rankbench.plans import views
+    from rankbench.plans.collections import collection
+
+    index, plans = collection(spark, sf_dir, "bench").index, []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    monkeypatch.setattr(views, "checkpointed", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = views.bench_qrels(spark, sf_dir, index).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found > 0
+    assert "BroadcastHashJoin [term" in plans[-1] and "SortMergeJoin [term" not in plans[-1]
