@@ -234,3 +234,27 @@ def test_only_rare_words_are_shuffled_for_their_weight(spark, monkeypatch):
     monkeypatch.setattr(dense, "lookup_join", lambda *a: seen.append(a[3].count()) or plain(*a))
     assert dense.encode_documents(index).count() == 3
     assert seen == [1500]
+
+
+def test_pairs_of_blocks_and_cells_are_dealt_evenly(spark):
+    """Their time is rows times columns, so none is put together with another for its few bytes."""
+    from pyspark import TaskContext
+
+    def scorer():
+        task = TaskContext.get().partitionId()
+        return lambda queries: lambda docs: np.full((len(queries), len(docs)), float(task))
+
+    queries = spark.range(50).select(F.col("id").cast("string").alias("qid"))
+    docs = spark.range(100).select(F.col("id").cast("string").alias("docno"))
+    found = exhaustive_top_k(queries, docs, scorer, 100, batch_queries=20, cell_docs=10)
+    met = found.groupBy("score").agg(F.countDistinct("qid"), F.countDistinct("docno")).collect()
+    assert found.count() == 5000
+    assert len(met) == 30  # 3 blocks x 10 cells, a task each
+    assert max(r[1] for r in met) <= 24 and max(r[2] for r in met) <= 16
+
+
+def test_many_pairs_share_tasks(spark):
+    from rankbench.operators.exhaustive import pair_tasks
+
+    assert pair_tasks(spark, 5) == 5
+    assert pair_tasks(spark, 10**6) == 64  # 8 for each of 8 cores
