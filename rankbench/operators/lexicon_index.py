@@ -14,6 +14,9 @@ from rankbench.session import task_count
 BUCKETED = ("postings", "docstore")
 # Text of a bucket.  Counting its postings takes a task some 35 times as much memory.
 BYTES_PER_BUCKET = 8 * 1024 * 1024
+# Documents of a bucket, which short texts reach first.  Retrieval sums up to 1,000
+# queries in a row for each query and document of a bucket, 200 bytes each.
+DOCS_PER_BUCKET = 4096
 
 
 @dataclass(frozen=True)
@@ -141,14 +144,20 @@ def build_index(corpus: DataFrame, n_max: int = 1, **options) -> LexicalIndex:
 
 
 def bucket_count(corpus: DataFrame, n_max: int = 1) -> int:
-    """Buckets for a corpus: a bucket is one task, so its bytes of text are bounded.
+    """Buckets for a corpus: a bucket is one task, so its text and its documents are bounded.
 
-    A text has about ``n_max`` terms for each word.  Runs a job that reads the
-    texts' lengths.  Above Spark's own limit,
-    ``spark.sql.sources.bucketing.maxBuckets``, writing raises.
+    A text has about ``n_max`` terms for each word.  Runs a job that counts the
+    documents and reads the texts' lengths.  Above Spark's own limit,
+    ``spark.sql.sources.bucketing.maxBuckets``, writing raises for the text's bytes,
+    and more documents share a bucket.
     """
-    n_bytes = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(task_count(corpus.sparkSession), -(-int(n_bytes) * n_max // BYTES_PER_BUCKET))
+    most = int(corpus.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n_docs, n_bytes = corpus.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    return max(
+        task_count(corpus.sparkSession),
+        -(-int(n_bytes or 0) * n_max // BYTES_PER_BUCKET),
+        min(most, -(-n_docs // DOCS_PER_BUCKET)),
+    )
 
 
 def write_index(

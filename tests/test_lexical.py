@@ -196,6 +196,15 @@ def test_a_bucket_holds_little_text(spark):
     assert lexicon_index.bucket_count(corpus, 2) >= n_bytes / (4 << 20)  # with bigrams
 
 
+def test_a_bucket_holds_few_documents(spark):
+    """Nor does it grow with a corpus of very short texts, or of none."""
+    corpus = spark.range(20 << 12).select(
+        F.col("id").cast("string").alias("docno"), F.when(F.col("id") % 2 == 0, "a").alias("text")
+    )
+    assert lexicon_index.bucket_count(corpus) == 20
+    assert lexicon_index.bucket_count(corpus.limit(10)) == 8
+
+
 def test_queries_in_blocks_give_the_same_rows(spark):
     """Repeats, nulls, negative weights, ties and documents without a shared term."""
     corpus = skewed(spark).unionByName(
