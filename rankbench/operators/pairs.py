@@ -171,7 +171,7 @@ def retrieve_pairs_with(
 ) -> DataFrame:
     """Top ``k`` per query by a user's pair model over every document.
 
-    ``load_model`` runs once per task.
+    ``load_model`` runs once per task, and the tasks are few.
     """
 
     def scorer():
@@ -192,7 +192,8 @@ def retrieve_pairs_with(
         return for_queries
 
     return exhaustive_top_k(
-        topics.select("qid", "query"), corpus.select("docno", "text"), scorer, k, **options
+        topics.select("qid", "query"), corpus.select("docno", "text"), scorer, k,
+        **{"tasks_per_core": 1, **options},
     )
 
 
