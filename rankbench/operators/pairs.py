@@ -11,8 +11,9 @@ from pyspark.sql.types import DoubleType
 
 from rankbench.functions import text as tx
 from rankbench.operators import logistic
-from rankbench.operators.exhaustive import exhaustive_top_k
+from rankbench.operators.exhaustive import SLACK, exhaustive_top_k
 from rankbench.operators.ranking import TOPK, rounded
+from rankbench.operators.term_blocks import ByTerm, TermScorer, by_term
 
 # Weights of the built-in scorer: fixed values.
 BIAS = -2.0
@@ -96,51 +97,81 @@ def batch_scorer(
     )
 
 
-def overlap_scorer():
-    """Block scorer with the fixed weights, from distinct words and word counts.
+def words_by_term(docs: pd.DataFrame) -> ByTerm:
+    """Documents by word, with their word counts."""
+    found = by_term(docs, "words", None)
+    found.figures = {
+        "size": docs["words"].map(len).to_numpy(dtype="float64"),
+        "len": docs["n_words"].to_numpy(dtype="float64"),
+    }
+    return found
+
+
+class OverlapScorer(TermScorer):
+    """Scores with the fixed weights, from distinct words and word counts."""
+
+    only_numbers = False
+
+    def __init__(self, queries: pd.DataFrame):
+        super().__init__(queries, "words", None)
+        self.size = queries["words"].map(len).to_numpy(dtype="float64")
+        self.len = queries["n_words"].to_numpy(dtype="float64")
+
+    def turned(self, docs: pd.DataFrame) -> ByTerm:
+        return words_by_term(docs)
+
+    def _logits(self, shared, docs: ByTerm, row, column) -> np.ndarray:
+        def ratio(part, whole):
+            return part / np.maximum(whole, 1)  # the part of nothing is 0
+
+        kind = shared.dtype
+        q_size, q_len = self.size[row].astype(kind), self.len[row].astype(kind)
+        d_size, d_len = (docs.figures[name][column].astype(kind) for name in ("size", "len"))
+        total = ratio(np.minimum(q_len, d_len), np.maximum(q_len, d_len))
+        total *= kind.type(WEIGHTS["length_ratio"])
+        total += kind.type(BIAS)
+        total += kind.type(WEIGHTS["jaccard"]) * ratio(shared, q_size + d_size - shared)
+        total += shared * (kind.type(WEIGHTS["coverage"]) / np.maximum(q_size, 1))
+        return total
+
+    def __call__(self, docs) -> np.ndarray:
+        met = self.meet(docs)
+        every = np.arange(len(docs))[None, :]
+        out = np.empty((self.n_queries, len(docs)))
+        for tile in self.tiles:
+            rows = np.arange(tile.first, tile.first + tile.size)
+            shared = tile.sums(met, "float32", True).astype("float64")  # whole numbers
+            logits = self._logits(shared, met.docs, rows[:, None], every)
+            out[rows] = 1 / (1 + np.exp(-logits))
+        return out
+
+    def prunes(self, bars: np.ndarray) -> np.ndarray:
+        return bars > SLACK
+
+    def reaching(self, docs, bars: np.ndarray):
+        met = self.meet(docs)
+        every = np.arange(len(docs))[None, :]
+        some = bars < 1
+        asked = np.where(some, bars, 0.5)
+        # logits are below 10, so 32 bits hold them to within 1e-5
+        logits = np.where(some, np.log(asked / (1 - asked)) - 1e-4, np.inf)
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for tile in self.tiles:
+            rows = np.arange(tile.first, tile.first + tile.size)
+            if not some[rows].any():
+                continue
+            shared = tile.sums(met, "float32", True)
+            near = self._logits(shared, met.docs, rows[:, None], every)
+            pair = np.flatnonzero((near >= logits[rows, None].astype("float32")).reshape(-1))
+            row, column = pair // len(docs), pair % len(docs)
+            exact = self._logits(shared[row, column].astype("float64"), met.docs, rows[row], column)
+            found.append((rows[row], column, 1 / (1 + np.exp(-exact))))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
-    A block's query words are numbered once; a document is then the list of
-    those it has.
-    """
 
-    def ratio(part, whole):
-        part, whole = np.broadcast_arrays(part, whole)
-        return np.divide(part, whole, out=np.zeros(part.shape), where=whole > 0)
-
-    def column(values: pd.Series) -> np.ndarray:
-        return values.to_numpy(dtype="float64")
-
-    def for_queries(queries: pd.DataFrame):
-        numbers = {w: i for i, w in enumerate({w for words in queries["words"] for w in words})}
-        # one row more, for no word at all
-        has_word = np.zeros((len(numbers) + 1, len(queries)))
-        for i, words in enumerate(queries["words"]):
-            has_word[[numbers[w] for w in words], i] = 1
-        q_size = column(queries["words"].map(len))[:, None]
-        q_len = column(queries["n_words"])[:, None]
-
-        def score(docs: pd.DataFrame) -> np.ndarray:
-            found = [
-                [numbers[w] for w in words if w in numbers] + [len(numbers)]
-                for words in docs["words"]
-            ]
-            starts = np.cumsum([0] + [len(f) for f in found[:-1]])
-            shared = np.add.reduceat(has_word[np.concatenate(found)], starts, axis=0).T
-            d_size = column(docs["words"].map(len))[None, :]
-            d_len = column(docs["n_words"])[None, :]
-            values = {
-                "jaccard": ratio(shared, q_size + d_size - shared),
-                "coverage": ratio(shared, q_size),
-                "length_ratio": ratio(np.minimum(q_len, d_len), np.maximum(q_len, d_len)),
-            }
-            total = np.full(shared.shape, BIAS)
-            for name, weight in WEIGHTS.items():
-                total = total + weight * values[name]
-            return 1 / (1 + np.exp(-total))
-
-        return score
-
-    return for_queries
+def overlap_scorer():
+    """Block scorer with the fixed weights."""
+    return OverlapScorer
 
 
 def retrieve_pairs(topics: DataFrame, corpus: DataFrame, k: int = TOPK, **options) -> DataFrame:
@@ -157,7 +188,7 @@ def retrieve_pairs(topics: DataFrame, corpus: DataFrame, k: int = TOPK, **option
 
     return exhaustive_top_k(
         prepared(topics, "qid", "query"), prepared(corpus, "docno", "text"),
-        overlap_scorer, k, **options,
+        overlap_scorer, k, prepare=words_by_term, **options,
     )
 
 

@@ -258,3 +258,59 @@ def test_many_pairs_share_tasks(spark):
 
     assert pair_tasks(spark, 5) == 5
     assert pair_tasks(spark, 10**6) == 64  # 8 for each of 8 cores
+
+
+def test_documents_are_moved_for_blocks_and_not_for_batches(spark, monkeypatch):
+    """20 batches of queries are two blocks where there are cells enough for all cores."""
+    from rankbench.operators import exhaustive
+
+    moved = []
+    each = exhaustive._each
+    monkeypatch.setattr(exhaustive, "_each", lambda n: moved.append(n) or each(n))
+    queries = spark.range(100).select(F.col("id").cast("string").alias("qid"))
+    docs = spark.range(400).select(F.col("id").cast("string").alias("docno"))
+
+    def scorer():
+        return lambda asked: lambda part: np.tile(part["docno"].astype(float), (len(asked), 1))
+
+    found = exhaustive_top_k(queries, docs, scorer, 2, batch_queries=5, cell_docs=10)
+    assert sorted(moved) == [2, 40]
+    assert found.groupBy("docno").count().orderBy("docno").collect() == [("398", 100), ("399", 100)]
+
+
+def test_bars_leave_out_no_result():
+    """Pieces scored up to a bar give the rows of whole matrices, ties and repeated terms too."""
+    from rankbench.operators import exhaustive, term_blocks
+
+    draw = np.random.default_rng(5)
+
+    def frame(n, name):
+        terms = [[f"t{min(x, 40)}" for x in draw.geometric(0.1, draw.integers(0, 9))] for _ in range(n)]
+        weights = [draw.integers(-2, 9, len(t)) / 4 for t in terms]
+        return pd.DataFrame({name: [f"{name}{i}" for i in range(n)], "terms": terms, "weights": weights})
+
+    queries, docs = frame(150, "qid"), frame(900, "docno")
+    matrix = exhaustive.rounded(term_blocks.matrix_scorer()(queries)(docs))
+    want = []
+    for i, row in enumerate(matrix):
+        order = sorted(np.flatnonzero(~np.isnan(row)), key=lambda j: (-row[j], docs["docno"][j]))
+        want += [(f"qid{i}", docs["docno"][j], row[j]) for j in order[:7]]
+    pieces = [docs[a:b].reset_index(drop=True) for a, b in ((0, 30), (30, 200), (200, 900))]
+    for stream in (pieces, [exhaustive.unpack(exhaustive.pack(term_blocks.by_term(p))) for p in pieces]):
+        got = exhaustive.best_per_query(queries, iter(stream), term_blocks.matrix_scorer, 7)
+        assert list(got.itertuples(index=False, name=None)) == want
+
+    vectors = pd.DataFrame({"docno": docs["docno"], "embedding": list(draw.integers(-1, 2, (900, 5)))})
+    asked = pd.DataFrame({"qid": queries["qid"], "embedding": list(draw.integers(-1, 2, (150, 5)))})
+    whole = exhaustive.best_per_query(asked, iter([vectors]), lambda: lambda q: dense.cosine_scorer()(q).__call__, 7)
+    parts = [dense.UnitVectors(vectors[a:b]) for a, b in ((0, 30), (30, 200), (200, 900))]
+    assert exhaustive.best_per_query(asked, iter(parts), dense.cosine_scorer, 7).equals(whole)
+
+    def words(f, key):
+        found = f["terms"].map(lambda t: list(dict.fromkeys(t)))
+        return pd.DataFrame({key: f[key], "words": found, "n_words": f["terms"].map(len)})
+
+    asked, read = words(queries, "qid"), words(docs, "docno")
+    whole = exhaustive.best_per_query(asked, iter([read]), lambda: lambda q: pairs.overlap_scorer()(q).__call__, 7)
+    parts = [read[a:b].reset_index(drop=True) for a, b in ((0, 30), (30, 200), (200, 900))]
+    assert exhaustive.best_per_query(asked, iter(parts), pairs.overlap_scorer, 7).equals(whole)
