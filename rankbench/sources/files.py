@@ -136,7 +136,8 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     ``system=`` folder.
     """
     path = F.col("_metadata.file_path")
-    stem = F.regexp_extract(path, r"([^/]+)\.trec(?:/|$)", 1)
+    # looked for in few paths only: the expression tries every place of a path
+    stem = F.when(F.contains(path, F.lit(".trec")), F.regexp_extract(path, r"([^/]+)\.trec(?:/|$)", 1))
     folder_value = F.regexp_extract(path, r"/system=([^/]+)/", 1)
     part = F.split(F.trim("value"), r"\s+")
     return (

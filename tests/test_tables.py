@@ -265,3 +265,17 @@ def test_postings_are_not_shuffled_for_the_judgments(spark, sf_dir, monkeypatch)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found > 0
     assert "BroadcastHashJoin [term" in plans[-1] and "SortMergeJoin [term" not in plans[-1]
+
+
+def test_run_paths_are_searched_for_a_file_name_only_where_there_may_be_one(spark, tmp_path):
+    """The search tries every place of the path, for every line of a run."""
+    from rankbench.sources import files
+
+    line = "q1 Q0 d1 1 2.5 x\n"
+    for name in ("system=a/part-0.txt", "b.trec", "c.trec/part-0", "system=d.trecs/part-0", "e.trec/system=f/part-0"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(line)
+    runs = files.read_runs(spark, str(tmp_path))
+    assert sorted(r["system"] for r in runs.collect()) == ["a", "b", "c", "d.trecs", "e"]
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "WHEN Contains(" in plan
