@@ -91,6 +91,34 @@ def test_postings_are_shuffled_once_by_term(spark, indexed):
     assert once.exceptAll(parted).isEmpty() and parted.exceptAll(once).isEmpty()
 
 
+def test_blocks_are_written_where_they_are_ranked(spark, indexed):
+    """A task ranks the terms of one folder, so blocks are not shuffled to their folders."""
+    impact = lexical.bm25_weights()[1](F.lit(indexed.stats.first()["avgdl"]))
+    stored = pruned.blocks_by_folder(indexed, impact, 3, 8)
+    assert stored._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    tasks = stored.groupBy(F.spark_partition_id()).agg(F.countDistinct("folder").alias("n"))
+    assert 3 < tasks.count() <= 9 and tasks.where("n > 1").isEmpty()
+    parted = pruned.blocks_by_folder(indexed, impact, 3, 8, task_postings=50)
+    assert stored.exceptAll(parted).isEmpty() and parted.exceptAll(stored).isEmpty()
+
+
+def test_candidates_must_reach_what_the_given_blocks_reach(spark):
+    """Two documents have 9 - 2 at least, so one that has 4 + 1.5 at most is none."""
+    judged = spark.createDataFrame(
+        [("q", "a", 1.0, True, 9.0), ("q", "b", 1.0, False, 1.5), ("free", "a", None, True, 9.0)],
+        "qid string, term string, bar double, gives boolean, most double",
+    )
+    given = spark.createDataFrame(
+        [("q", "d1", 9.0), ("q", "d2", 4.0), ("q", "d2", 6.0), ("q", "d3", 4.0), ("q", "d4", 5.6), ("free", "d3", 0.1)],
+        "qid string, docno string, part double",
+    )
+    lost = spark.createDataFrame([("q", -2.0), ("free", 0.0)], "qid string, lost double")
+    found = pruned.candidates(judged, given, lost, 2)
+    assert sorted((r["qid"], r["docno"]) for r in found.collect()) == [
+        ("free", "d3"), ("q", "d1"), ("q", "d2"), ("q", "d4")
+    ]
+
+
 def test_blocks_are_skipped_and_folders_pruned(spark, indexed):
     impacts = pruned.write_impacts(indexed, fresh_path(spark, "impacts"), block=8, folders=4)
     topics = spark.createDataFrame([("q", "w200 w2")], "qid string, query string")
