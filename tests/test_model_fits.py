@@ -102,5 +102,28 @@ def test_cross_validation_against_numpy(shifted):
     assert found["shift"] == "strong"
 
 
+def test_texts_are_not_read_again_for_their_frequencies(spark, shifted):
+    """The vocabulary has them; only the vectors ask for the texts once more."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(value):
+        read.add(1)
+        return value
+
+    vectors, terms, total = shift._prepared(shifted.withColumn("text", text("text")))
+    assert (total, read.value) == (90, 90)
+    row = vectors.where("id = 't0'").first()
+    counts = {}
+    words = shifted.where("id = 't0'").first()["text"].split()
+    for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+        counts[term] = counts.get(term, 0) + 1
+    df = {r["term"]: r["df"] for r in shift.vocabulary(shifted).collect()}
+    want = np.array([counts.get(t, 0) * (np.log(91 / (1 + df[t])) + 1) for t in terms])
+    assert np.allclose(row["features"].toArray(), want / np.linalg.norm(want))
+
+
 def test_partial_sums_meet_before_the_driver():
     assert shift.learner(10).getAggregationDepth() >= 4
